@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Deletes every byte but [0-9a-z\x80-\xff] and lower-cases A-Z: ``text.translate(WORD_BYTES).split()``
+#: Lower-cases A-Z and turns what is in no word into spaces: ``text.translate(WORD_BYTES).split()``
 #: gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
 WORD_BYTES = bytes(
     (c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256)
