@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, toxicity
+from . import decontaminate, simhash, substrings, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,12 @@ def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_suffix_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substrings.repeated_substrings(_table(spark, sf_dir, "documents"))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
+    return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
+
+
 def op6_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return got.select(
@@ -47,6 +53,7 @@ def op6_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_toxicity_noisy_or": op2_toxicity_noisy_or,
     "op3_simhash_anchor_dedup": op3_simhash_anchor_dedup,
+    "op5_suffix_substring_dedup": op5_suffix_substring_dedup,
     "op6_benchmark_winnowing": op6_benchmark_winnowing,
 }
 
