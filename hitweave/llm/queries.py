@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, simhash, substrings, toxicity
+from . import decontaminate, extract, licenses, simhash, substrings, topk, toxicity, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_main_text_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def _held_out() -> Column:
     """The fold whose labels nothing may learn from."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
@@ -36,6 +40,10 @@ def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
 def op5_suffix_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = substrings.repeated_substrings(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
@@ -50,17 +58,77 @@ def op6_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_url_filter_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+def op10_topk_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op2_toxicity_noisy_or": op2_toxicity_noisy_or,
-    "op3_simhash_anchor_dedup": op3_simhash_anchor_dedup,
-    "op5_suffix_substring_dedup": op5_suffix_substring_dedup,
-    "op6_benchmark_winnowing": op6_benchmark_winnowing,
+    f.__name__: f
+    for f in (
+        op1_main_text_path_ratios,
+        op2_toxicity_noisy_or,
+        op3_simhash_anchor_dedup,
+        op4_license_templates,
+        op5_suffix_substring_dedup,
+        op6_benchmark_winnowing,
+        op7_url_filter_ngrams,
+        op10_topk_impact_ordered,
+    )
 }
 
 _LOWER = "translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _WORDS = f"regexp_extract_all({_LOWER}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
+
+
+def _license_sql() -> str:
+    """The automata as regular expressions over words that are each followed by a space."""
+    compiled = [licenses.compile_template(*t) for t in licenses.TEMPLATES]
+    tests = [f"regexp_matches(line, '(?:^| ){a.regex()}')" for a in compiled]
+    labels = ", ".join(f"CASE WHEN {t} THEN '{a.label}' END" for a, t in zip(compiled, tests, strict=True))
+    most = ", ".join(f"CASE WHEN {t} THEN {a.mandatory} ELSE 0 END" for a, t in zip(compiled, tests, strict=True))
+    starts = " UNION ALL ".join(
+        f"SELECT r, i - 1 AS place, '{label}' AS label FROM docs, unnest(range(1, len(w) + 1)) AS t(i) WHERE "
+        + " AND ".join(f"w[i + {n}] = '{word}'" for n, word in enumerate(phrase.split()))
+        for phrase, label in licenses.PHRASES
+    )
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
+lines AS (SELECT *, array_to_string(w, ' ') || ' ' AS line FROM docs),
+starts AS ({starts}),
+base AS (
+    SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list_distinct(list(label))) AS l FROM starts GROUP BY r
+),
+found AS (
+    SELECT r, doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(l, []) AS l,
+        list_filter([{labels}], lambda x: x IS NOT NULL) AS more, greatest({most}) AS most
+    FROM lines LEFT JOIN base USING (r)
+)
+SELECT doc_id, n_words, CAST(n_base AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+    array_to_string(l, ',') AS base_labels, array_to_string(list_sort(list_distinct(l || more)), ',') AS labels,
+    CASE WHEN len(l) + len(more) = 0 THEN 0.0 ELSE 0.5 + 0.5 * (1 - pow(0.5, most / 4.0)) END AS score
+FROM found
+"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_templates": _license_sql(),
+    "op10_topk_impact_ordered": """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scores AS (
+    SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+    FROM v AS q, v AS c WHERE q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM scores)
+SELECT query_id, CAST(r AS INTEGER) AS rank, vec_id, score FROM ranked WHERE r <= 5
+""",
     "op6_benchmark_winnowing": f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
 items AS (SELECT item_id, {_WORDS.format("text")} AS w FROM benchmark),
