@@ -10,6 +10,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Lower-cases A-Z and turns what is in no word into spaces: ``text.translate(WORD_BYTES).split()``
 #: gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
@@ -72,6 +73,11 @@ def _discard_all() -> None:
             return
 
 
+def extended(carried: DataFrame, skip: int, more: str) -> T.StructType:
+    """The schema of ``carried`` without its first ``skip`` columns, followed by the columns that ``more`` declares."""
+    return T.StructType(carried.schema.fields[skip:] + T._parse_datatype_string(more).fields)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs, undirected, loops ignored).
 

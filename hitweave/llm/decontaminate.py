@@ -207,6 +207,7 @@ def contamination(
     n: int = 10,
     block_bytes: int = BLOCK_BYTES,
     carry: Iterable[str] = (),
+    suffix: str = "",
 ) -> DataFrame:
     """``(*carry, n_words, n_hit, spans, items)`` for every row of ``docs``, with the columns named in ``carry``.
 
@@ -215,6 +216,7 @@ def contamination(
     fewer than ``n`` words is one window; a text that is null, empty or without
     words has none.  An item without an id marks words, but is not listed; rows
     repeated in ``benchmark`` count once, rows repeated in ``docs`` each give a row.
+    ``suffix`` ends the names of the four columns, where ``carry`` has the like.
     """
     if n < 2:
         raise ValueError("a window takes two words or more")
@@ -235,4 +237,5 @@ def contamination(
         index = spark.sparkContext.broadcast(Index(((r.item, r.text) for r in part.collect()), n))
         out = out.mapInArrow(lambda b, index=index: _scanned(b, index), out.schema)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_words", hit.alias("n_hit"), "spans", "items")
+    own = {"n_words": F.col("n_words"), "n_hit": hit, "spans": F.col("spans"), "items": F.col("items")}
+    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[v.alias(k + suffix) for k, v in own.items()])

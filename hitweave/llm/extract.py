@@ -19,6 +19,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import extended
+
 #: Elements without end tags.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements whose text is never read.
@@ -277,6 +279,5 @@ def extract(pages: DataFrame, html_col: str = "html", carry: Iterable[str] = ("p
     """
     carry = list(carry)
     out = pages.select(F.col(html_col).cast("string").alias("_html"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:])
-    schema = f"{fields}{', ' if fields else ''}text string, n_chars long"
+    schema = extended(out, 1, "text string, n_chars long")
     return out.mapInArrow(_extracted, schema).select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "text", "n_chars")

@@ -17,7 +17,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import WORD_BYTES
+from ._base import WORD_BYTES, extended
 
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -214,10 +214,9 @@ def scan(
     """
     carry = list(carry)
     out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:])
-    schema = (
-        f"{fields}{', ' if fields else ''}n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
-        "matches array<struct<label:string,first:long,end:long>>"
-    )
+    schema = extended(
+        out, 1, "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
+        "matches array<struct<label:string,first:long,end:long>>",
+    )
     got = out.mapInArrow(lambda b: _scanned(b, phrases, templates), schema)
     return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *got.columns[len(carry) :])

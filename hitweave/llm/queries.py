@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, extract, licenses, simhash, substrings, topk, toxicity, urls
+from . import decontaminate, extract, licenses, mixing, pii, simhash, substrings, topk, toxicity, urls
+
+
+#: The key of the pseudonyms where none is given; a deployment passes its own.
+PII_KEY = b"hitweave: an example key"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +66,21 @@ def op7_url_filter_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+def _same(kind: str) -> Callable[[Column], Column]:
+    return lambda x: F.when(x == kind, x)
+
+
+def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pii.pseudonyms(_table(spark, sf_dir, "documents"), PII_KEY)
+    names = F.transform("found", lambda x: x["kind"])
+    kinds = [F.size(F.array_compact(F.transform(names, _same(kind)))).alias(f"n_{kind}") for kind, _, _ in pii.KINDS]
+    return got.select("doc_id", "text", F.size("found").alias("n_found"), *kinds)
+
+
 def op10_topk_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -76,6 +95,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op5_suffix_substring_dedup,
         op6_benchmark_winnowing,
         op7_url_filter_ngrams,
+        op8_poisson_mixing,
+        op9_feistel_pseudonyms,
         op10_topk_impact_ordered,
     )
 }
@@ -117,6 +138,23 @@ FROM found
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_templates": _license_sql(),
+    "op8_poisson_mixing": """
+WITH own AS (SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS DOUBLE) AS bytes FROM documents GROUP BY source),
+rates AS (
+    SELECT source, CASE WHEN bytes > 0 THEN least(pow(bytes, 0.5) / (SELECT sum(pow(bytes, 0.5)) FROM own) * (SELECT sum(bytes) FROM own) / bytes, 16.0) ELSE 1.0 END AS rate
+    FROM own
+),
+terms AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, range(0, 101) AS t(k)),
+tables AS (
+    SELECT source, rate, list(c ORDER BY k) AS cdf FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source, rate
+),
+drawn AS (
+    SELECT d.*, rate, len(list_filter(cdf, lambda c: c < 1.0 AND c <= CAST(CAST('0x' || md5('0:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) AS DOUBLE) / pow(2, 52))) AS n
+    FROM documents AS d JOIN tables AS t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy, rate, md5('0/copy:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k)[1:16] AS shuffle_key
+FROM drawn, unnest(range(1, n + 1)) AS t(k)
+""",
     "op10_topk_impact_ordered": """
 WITH v AS (
     SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings

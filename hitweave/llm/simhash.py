@@ -19,10 +19,14 @@ Anchors with many homes are cut into blocks that different tasks compare.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from ._base import components, written
+from ._base import components, extended, written
 
 #: Triples of the six blocks; see the module's text.
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
@@ -58,20 +62,24 @@ def _fingerprints(batches, shingle):
                 some = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
                 bits += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             out[row] = np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["id", "fp"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(out.view(np.int64))], ["id", *batch.schema.names[2:], "fp"])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4) -> DataFrame:
-    """``(id long, fp long)`` for every row: the SimHash of the whole text's word shingles.
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, carry: Iterable[str] = ()) -> DataFrame:
+    """``(id long, *carry, fp long)`` for every row: the SimHash of the whole text's word shingles.
 
     Words are runs of anything but ASCII white space, A-Z lower-cased; every
     shingle counts as often as it occurs; a bit is 1 if more than half of the
     shingles' XXH64 hashes (seed 42) have it.  A text of fewer words is one
     shingle; null and wordless texts get 0.
     """
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        lambda batches: _fingerprints(batches, shingle), "id long, fp long"
+    carry = list(carry)
+    rows = docs.select(
+        F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     )
+    schema = T.StructType([rows.schema["id"], *extended(rows, 2, "fp long").fields])
+    got = rows.mapInArrow(lambda batches: _fingerprints(batches, shingle), schema)
+    return got.select("id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "fp")
 
 
 def _tables():
@@ -218,10 +226,41 @@ def near_duplicates(
     give one row each; a null id stands for itself where no other id is linked.
     Other columns of ``docs`` don't matter.
     """
+    marks, owner = _classes(docs, id_col, text_col, shingle, threshold, homes)
+    return marks.join(owner, "fp").select("id", "fp", "component")
+
+
+def _classes(docs, id_col, text_col, shingle, threshold, homes) -> tuple[DataFrame, DataFrame]:
+    """``(id, fp)`` of every row, and ``(fp, root, component)`` of every fingerprint."""
     marks = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     joined = components(links(least, threshold, homes)).withColumnRenamed("node", "fp")
     roots = least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("least").alias("component"))
-    owner = roots.join(smallest, "root").select("fp", "component")
-    return marks.join(owner, "fp").select("id", "fp", "component")
+    return marks, roots.join(smallest, "root").select("fp", "root", "component")
+
+
+def without_near_duplicates(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 4, threshold: int = 4, homes: int = HOMES
+) -> DataFrame:
+    """The rows of ``docs``, with their columns, of which one stays of each class: that of the smallest id.
+
+    Of rows that repeat the smallest id, the one with the smallest text stays,
+    and rows without an id stay only where their class has no other.
+    """
+    marks, owner = _classes(docs, id_col, text_col, shingle, threshold, homes)
+    owner = written(owner, "classes")
+    again = written(marks.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_again")), "repeated")
+    gone = written(marks.join(owner, "fp").where("id <> component").select(F.col("id").alias("_gone")).distinct(), "duplicates")
+    number = F.col(id_col).cast("long")
+    unclear = marks.where("id is null").limit(1).count() + again.limit(1).count()
+    if not unclear:
+        return docs.join(gone, number == F.col("_gone"), "left_anti")
+    clear = docs.where(number.isNotNull()).join(again, number == F.col("_again"), "left_anti").join(gone, number == F.col("_gone"), "left_anti")
+    rest = docs.where(number.isNull()).unionByName(docs.join(again, number == F.col("_again"), "left_semi"))
+    names = docs.columns
+    rows = fingerprints(rest, id_col, text_col, shingle, names)
+    rows = rows.toDF("_id", *[f"_r{i}" for i in range(len(names))], "fp").join(owner, "fp").where("component is null or _id = component")
+    first = Window.partitionBy("root").orderBy(F.col("_id").asc_nulls_last(), F.col(f"_r{names.index(text_col)}"))
+    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    return clear.unionByName(rows.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)]))

@@ -27,7 +27,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import written
+from ._base import extended, written
 
 #: Bytes of text that are hashed at a time.
 CHUNK = 4 << 20
@@ -544,7 +544,6 @@ def repeated_substrings(
         )
     found = ranges.groupBy("id", "row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     out = texts.join(found, ["id", "row"], "left").select("text", "ranges", *[f"_c{i}" for i in range(len(carry))])
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[2:])
-    schema = f"{fields}{', ' if fields else ''}n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string"
+    schema = extended(out, 2, "n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string")
     got = out.mapInArrow(lambda b: _kept(b, length), schema)
     return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "removed", "kept_sha256")

@@ -15,6 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._base import extended
+
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 3000
 #: Buckets of the hashed words.
@@ -215,17 +217,18 @@ def _scored(batches, model, threshold):
         )
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable[str] = ("doc_id",)) -> DataFrame:
+def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable[str] = ("doc_id",), suffix: str = "") -> DataFrame:
     """``(*carry, score, n_sentences, offending)`` for every row of ``docs``.
 
     ``score``: the noisy-or of all sentences of the whole text, 0 for null, empty
     and wordless texts; ``offending``: byte ranges and probabilities of the
     sentences at 0.5 or more.  Rows repeated in ``docs`` each give a row.
+    ``suffix`` ends the names of the three columns, where ``carry`` has the like.
     """
     carry = list(carry)
     out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields[1:])
-    schema = f"{fields}{', ' if fields else ''}score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>"
+    schema = extended(out, 1, "score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
     got = out.mapInArrow(lambda b: _scored(b, sent, 0.5), schema)
-    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "score", "n_sentences", "offending")
+    own = [F.col(c).alias(c + suffix) for c in ("score", "n_sentences", "offending")]
+    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *own)

@@ -13,6 +13,8 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._base import extended
+
 #: Buckets of the hashed n-grams, and their lengths.
 BUCKETS = 1 << 16
 LENGTHS = (3, 4, 5)
@@ -166,8 +168,7 @@ def judge(
     host, path = host_and_path(F.col(url_col).cast("string"))
     rows = pages.select(host.alias("host"), path.alias("path"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     sent = pages.sparkSession.sparkContext.broadcast(model or fit(LABELLED))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    got = rows.mapInArrow(lambda b: _scored(b, sent), f"{schema}, score double")
+    got = rows.mapInArrow(lambda b: _scored(b, sent), extended(rows, 0, "score double"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
     return got.select(
         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "host", "path", rule.alias("rule"), "score",
