@@ -86,11 +86,11 @@ def mix(
     table = rates(docs, weights, source_col, text_col, alpha, size, most)
     # a row of a few numbers for each source: Spark broadcasts it if its file is small
     table = written(table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_table(F.col("rate")).alias("_table")), "rates")
-    ident = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.select(*names, F.col(source_col).cast("string").alias("_own")).join(table, F.col("_own").eqNullSafe(F.col("_source")))
-    u = uniform(F.lit(str(seed)), ident)
-    count = F.size(F.filter("_table", lambda c: c <= u))
-    copies = drawn.withColumn("_n", count).where("_n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_n"))))
-    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/copy"), ident, F.col("copy").cast("string"))), 1, 16)
-    out = copies.select(*names, "copy", F.col("_rate").alias("rate"), key.alias("shuffle_key"))
-    return out.repartition("shuffle_key").sortWithinPartitions("shuffle_key", id_col)
+    # the rows' own columns travel in a struct, whatever their names
+    rows = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident"), F.col(source_col).cast("string").alias("own"))
+    drawn = rows.join(table, F.col("own").eqNullSafe(F.col("_source")))
+    u = uniform(F.lit(str(seed)), F.col("ident"))
+    copies = drawn.withColumn("n", F.size(F.filter("_table", lambda c: c <= u))).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/copy"), F.col("ident"), F.col("copy").cast("string"))), 1, 16)
+    out = copies.select("row", "ident", "copy", F.col("_rate").alias("rate"), key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "ident")
+    return out.select(*[F.col("row")[c].alias(c) for c in names], "copy", "rate", "shuffle_key")

@@ -250,17 +250,20 @@ def without_near_duplicates(
     """
     marks, owner = _classes(docs, id_col, text_col, shingle, threshold, homes)
     owner = written(owner, "classes")
-    again = written(marks.where("id is not null").groupBy("id").count().where("count > 1").select(F.col("id").alias("_again")), "repeated")
-    gone = written(marks.join(owner, "fp").where("id <> component").select(F.col("id").alias("_gone")).distinct(), "duplicates")
-    number = F.col(id_col).cast("long")
-    unclear = marks.where("id is null").limit(1).count() + again.limit(1).count()
-    if not unclear:
-        return docs.join(gone, number == F.col("_gone"), "left_anti")
-    clear = docs.where(number.isNotNull()).join(again, number == F.col("_again"), "left_anti").join(gone, number == F.col("_gone"), "left_anti")
-    rest = docs.where(number.isNull()).unionByName(docs.join(again, number == F.col("_again"), "left_semi"))
+    again = written(marks.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
+    gone = written(marks.join(owner, "fp").where("id <> component").select("id").distinct(), "duplicates")
+    number = docs[id_col].cast("long")
+
+    def having(some: DataFrame, how: str, rows: DataFrame = docs) -> DataFrame:
+        return rows.join(some, number == some["id"], how)
+
+    if not marks.where("id is null").limit(1).count() + again.limit(1).count():
+        return having(gone, "left_anti")
+    clear = having(gone, "left_anti", having(again, "left_anti", docs.where(number.isNotNull())))
+    rest = docs.where(number.isNull()).unionByName(having(again, "left_semi"))
     names = docs.columns
-    rows = fingerprints(rest, id_col, text_col, shingle, names)
-    rows = rows.toDF("_id", *[f"_r{i}" for i in range(len(names))], "fp").join(owner, "fp").where("component is null or _id = component")
-    first = Window.partitionBy("root").orderBy(F.col("_id").asc_nulls_last(), F.col(f"_r{names.index(text_col)}"))
-    rows = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return clear.unionByName(rows.select(*[F.col(f"_r{i}").alias(c) for i, c in enumerate(names)]))
+    rows = fingerprints(rest.toDF(*[f"r{i}" for i in range(len(names))]), f"r{names.index(id_col)}", f"r{names.index(text_col)}", shingle, [f"r{i}" for i in range(len(names))])
+    rows = rows.join(owner, "fp").where("component is null or id = component")
+    first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), F.col(f"r{names.index(text_col)}"))
+    rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
+    return clear.unionByName(rows.select(*[F.col(f"r{i}").alias(c) for i, c in enumerate(names)]))
