@@ -118,6 +118,7 @@ class Collection:
     stopwords: frozenset[str] = frozenset()
     aliases: dict[str, str] = dataclasses.field(default_factory=dict)
     name: str = ""
+    counts: DataFrame | None = None
 
     @classmethod
     def of(
@@ -129,10 +130,12 @@ class Collection:
         """
         stop = frozenset(stopwords)
         rows = recs.select("rec_id", "rec_len", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
+        counts = None
         if indexed:
+            counts = written(_counted(recs), "counts")
             # ranges of (word, record): a very common word takes several files, and all files are sorted
             rows = written(rows.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
-        return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, **more)
+        return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)
 
     def vocabulary(self) -> DataFrame:
         """``(term, tf, df)`` of all words."""
@@ -140,4 +143,8 @@ class Collection:
 
     def statistics(self) -> DataFrame:
         """One row: ``n_records`` and ``avg_len`` over all records, deleted ones too."""
-        return self.records.agg(F.count(F.lit(1)).alias("n_records"), F.avg("rec_len").alias("avg_len"))
+        return _counted(self.records) if self.counts is None else self.counts
+
+
+def _counted(recs: DataFrame) -> DataFrame:
+    return recs.agg(F.count(F.lit(1)).alias("n_records"), F.avg("rec_len").alias("avg_len"))

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from ..collection import Collection
 
+# Fixed values of the model af.
+AF_K3, AF_SCALE = -993.0, 0.75
 METHODS = ("none", "l2", "l1", "s2", "bm25", "max", "log", "bytes", "af")
 
 
@@ -33,19 +35,19 @@ def score(
     rows = found
     if method in ("bm25", "bytes"):
         rows = rows.join(c.records.select("rec_id", "rec_len", "date"), "rec_id")
-    stats = c.statistics().crossJoin(found.agg(F.count(F.lit(1)).alias("_n")))
-    rows = rows.crossJoin(F.broadcast(stats))
+    if method not in ("l2", "l1", "max"):  # those divide idf by itself
+        rows = rows.crossJoin(F.broadcast(c.statistics().crossJoin(found.agg(F.count(F.lit(1)).alias("_n")))))
     big, n = F.col("n_records").cast("double"), F.col("_n").cast("double")
     idf = 1 + F.log(big / n)
     ti = tf * idf
     if method in ("l2", "l1", "max", "af"):
-        total = {"l2": F.sqrt(F.sum(tf * tf)), "l1": F.sum(tf), "max": F.max(tf), "af": F.sum(tf)}[method]
+        total = {"l2": F.sqrt(F.sum(tf * tf)), "l1": F.sum(tf), "max": F.max(tf), "af": F.sum(F.log1p(tf))}[method]
         rows = rows.crossJoin(F.broadcast(found.agg(total.alias("_total"))))
-    whole = F.col("_total") if "_total" in rows.columns else None
+    whole = F.col("_total")
     if method == "l2":
-        value = ti * w / (whole * idf)
+        value = tf * w / whole
     elif method == "l1":
-        value = ti * w / F.abs(whole * idf * w) if weight else F.lit(0.0)
+        value = tf * w / F.abs(whole * w) if weight else F.lit(0.0)
     elif method == "s2":
         value = 2 * tf / (tf + 1) * idf * w
     elif method == "bm25":
@@ -56,13 +58,15 @@ def score(
             age = F.least(F.greatest(F.lit(pivot) - F.year("date"), F.lit(0.0)), F.lit(40.0))
             value = value * F.coalesce(F.pow(F.lit(1 + recency), -age / 10), F.lit(1.0))
     elif method == "max":
-        value = (0.4 + 0.6 * ti / (whole * idf)) * w
+        value = (0.4 + 0.6 * tf / whole) * w
     elif method == "log":
         value = (1 + F.log(ti)) * w
     elif method == "bytes":
         value = tf * w * F.log(big / n) / (1 + F.log(F.greatest(F.col("rec_len"), F.lit(1)).cast("double")))
-    else:  # af: each term's share of the set's hits
-        value = (0.5 + 0.5 * tf / whole) * idf * w
+    else:  # af: by the term's weight in the collection, and that of the query's term
+        rate = F.log((big - idf + 0.5) / (idf + 0.5)) * F.log1p(w)
+        query = (AF_K3 + 1) * w / (AF_K3 + w)
+        value = ti * w / rate / F.when(F.abs(whole) > 0, F.abs(whole * AF_SCALE * rate * query)).otherwise(1.0)
     return rows.select("rec_id", value.cast("double").alias("score"), "hit_count", "aux_count", "hits")
 
 

@@ -14,13 +14,26 @@ from ..collection import Collection
 _META = {"date": "date", "reverse_date": "date", "key": "key", "category": "category", "newsrank": "date", "adjscore": "category"}
 
 
+# Fixed values of the recency weight: what an age in whole days up to the first number adds,
+# what an age in hours up to the first number multiplies by, and the weights of today and of dates to come.
+NEWS_DAYS = ((1, 5.0), (2, 4.0), (3, 1.75), (7, 0.75), (14, 0.55), (24, 0.43), (60, 0.32), (100, 0.21), (300, 0.10))
+NEWS_HOURS = ((2, 12.0), (3, 9.0), (4, 6.2), (8, 4.6), (12, 3.2), (16, 2.6), (23, 2.2))
+NEWS_TODAY, NEWS_OLDER, NEWS_TOMORROW, NEWS_LATER = 10.0, 1.0, -7.0, 6.0
+#: Dates up to so many hours ahead, which a time zone may explain, count as so many hours old.
+NEWS_AHEAD, NEWS_AHEAD_AS = 18, 2
+
+
 def news_weight(hours: Column) -> Column:
-    """How a record's age weighs: in full for a day, then by steps down to a tenth after a year."""
-    steps = ((24, 1.0), (48, 0.9), (72, 0.8), (168, 0.7), (336, 0.6), (720, 0.5), (2160, 0.35), (4380, 0.25), (8760, 0.15))
-    ladder = F.when(hours.isNull(), 0.1)
-    for most, weight in steps:
-        ladder = ladder.when(hours <= most, weight)
-    return ladder.otherwise(0.1)
+    """How an age in hours weighs: fresh records by far the most, dates to come against them; null: as nothing known, 1."""
+    age = F.when((hours < 0) & (hours > -NEWS_AHEAD), NEWS_AHEAD_AS).otherwise(hours.cast("long"))
+    days = (age / 24).cast("long")
+    base = F.when(days == -1, NEWS_TOMORROW).when(days < 0, days * NEWS_LATER).when(days == 0, NEWS_TODAY).otherwise(NEWS_OLDER)
+    for most, more in NEWS_DAYS:
+        base = base + F.when(days <= most, more).otherwise(0.0)
+    times = F.lit(1.0)
+    for most, factor in reversed(NEWS_HOURS):
+        times = F.when(age <= most, factor).otherwise(times)
+    return F.coalesce(base * times, F.lit(1.0))
 
 
 def sort(found: DataFrame, c: Collection, by: str = "score", now: Column | None = None, key: Callable[[DataFrame], list[Column]] | None = None) -> DataFrame:
@@ -36,7 +49,7 @@ def sort(found: DataFrame, c: Collection, by: str = "score", now: Column | None
         rows = rows.join(c.records.select("rec_id", F.col(_META[by]).alias("_meta")), "rec_id")
     score, rec = F.desc("score"), F.desc("rec_id")
     if by == "newsrank":
-        hours = ((now if now is not None else F.current_timestamp()).cast("long") - F.col("_meta").cast("long")) / 3600
+        hours = (((now if now is not None else F.current_timestamp()).cast("long") - F.col("_meta").cast("long")) / 3600).cast("long")
         rows = rows.withColumn("score", F.col("score") * news_weight(hours))
     if by == "adjscore":
         rows = rows.withColumn("score", F.col("score") * (1 + F.coalesce("_meta", F.lit(0)) / 10))
