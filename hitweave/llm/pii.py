@@ -111,18 +111,21 @@ def _ssn(key, text, back):
     return f"{area + (area >= 666):03d}{text[3]}{b:02d}{text[6]}{c:04d}"
 
 
+#: Addresses that are the same for all: 0.0.0.0, 127.0.0.1 and 255.255.255.255.
+_NOBODY = frozenset((0, 0x7F000001, 0xFFFFFFFF))
+
+
 def _ip(key, text, back):
     parts = text.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
     value = int.from_bytes(bytes(map(int, parts)), "big")
-    if value in (0, 0xFFFFFFFF) or parts[0] in ("0", "127") or int(parts[0]) >= 240:
+    if value in _NOBODY:
         return None
-    # first bytes 1 to 239 but 127
-    first = int(parts[0]) - 1 - (int(parts[0]) > 127)
-    got = permuted(key, b"ip", first << 24 | value & 0xFFFFFF, 238 << 24, back)
-    first = (got >> 24) + 1
-    return ".".join(map(str, ((first + (first >= 127)), *(got & 0xFFFFFF).to_bytes(3, "big"))))
+    while True:  # addresses of nobody aren't given out
+        value = permuted(key, b"ip", value, 1 << 32, back)
+        if value not in _NOBODY:
+            return ".".join(map(str, value.to_bytes(4, "big")))
 
 
 def _mod97(text: str) -> int:
