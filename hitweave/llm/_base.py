@@ -1,77 +1,21 @@
-"""What the operators share: the scratch folder, written tables, components."""
+"""What the operators share: words, schemas, written tables, components."""
 
 from __future__ import annotations
 
-import atexit
-import re
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import discard, written
+
+__all__ = ["WORD_BYTES", "components", "discard", "extended", "written"]
+
 #: Lower-cases A-Z and turns what is in no word into spaces: ``text.translate(WORD_BYTES).split()``
 #: gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
 WORD_BYTES = bytes(
     (c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32) for c in range(256)
 )
 
-_tables: list[tuple[SparkSession, str]] = []
-
-
-def scratch(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: what the session names in ``spark.checkpoint.dir``.
-
-    Where that is unset, a temporary folder, on a single machine only.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    master = spark.sparkContext.master
-    if not re.match(r"local(\[|$)", master):
-        raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-    root = tempfile.mkdtemp(prefix="hitweave-")
-    atexit.register(shutil.rmtree, root, ignore_errors=True)
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: ``df`` as a table in the shared folder, which survives lost executors.
-
-    The table stays until ``discard`` or the end of the driver process.
-    """
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/hitweave-{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._hitweave_path = path
-    if not _tables:
-        atexit.register(_discard_all)
-    _tables.append((spark, path))
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by ``written`` that nothing reads any more."""
-    _delete(df.sparkSession, df._hitweave_path)
-    _tables[:] = [t for t in _tables if t[1] != df._hitweave_path]
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def _discard_all() -> None:
-    for spark, path in _tables:
-        try:
-            _delete(spark, path)
-        except Exception:  # the session may have ended before; its folder is the cluster's to clean
-            return
-
 
 def extended(carried: DataFrame, skip: int, more: str) -> T.StructType:
     """The schema of ``carried`` without its first ``skip`` columns, followed by the columns that ``more`` declares."""
@@ -86,7 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
     edge set is a forest of stars; each step aggregates before it shuffles and
     joins the minimum back, so a hub is split by the adaptive skew join.
     """
-    spark = edges.sparkSession
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )

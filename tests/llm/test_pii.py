@@ -47,7 +47,7 @@ def test_values(kind):
         one = [text[s:e] for _, s, e in found]
         assert one == [value, value]
         made = re.fullmatch(r"Before (.*), after; again (.*)\.", new)
-        assert made[1] == made[2] != value and len(made[1]) == len(value)
+        assert made[1] == made[2] != value and (len(made[1]) == len(value) or kind in ("ip", "date"))
         assert re.sub(r"\d", "0", re.sub(r"[A-Za-z]", "a", made[1])) == re.sub(r"\d", "0", re.sub(r"[A-Za-z]", "a", value)) or kind in ("ip", "date")
         back, again = pii.pseudonymise(new, KEY, back=True)
         assert back == text and [k for k, _, _ in again] == [kind, kind]
