@@ -137,6 +137,20 @@ class Collection:
             rows = written(rows.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
         return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)
 
+    def imported(self, other: Collection) -> Collection:
+        """This collection with another's records, which get ids beyond the largest of this one's."""
+        last = self.records.agg(F.coalesce(F.max("rec_id"), F.lit(-1))).first()[0]
+        first = other.records.agg(F.coalesce(F.min("rec_id"), F.lit(0))).first()[0]
+
+        def moved(df: DataFrame) -> DataFrame:
+            return df.withColumn("rec_id", F.col("rec_id") + F.lit(last + 1 - first))
+
+        exts = [x for x in (self.extents, moved(other.extents) if other.extents is not None else None) if x is not None]
+        return Collection(
+            self.spark, self.records.unionByName(moved(other.records)), self.postings.unionByName(moved(other.postings)),
+            exts[0].unionByName(exts[1]) if len(exts) == 2 else exts[0] if exts else None, self.pattern, self.stopwords, self.aliases, self.name,
+        )
+
     def vocabulary(self) -> DataFrame:
         """``(term, tf, df)`` of all words."""
         return self.postings.groupBy("term").agg(F.sum(F.size("hits")).alias("tf"), F.count(F.lit(1)).alias("df"))

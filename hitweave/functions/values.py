@@ -126,6 +126,29 @@ def date_span(column: Column) -> Column:
     return F.when(lo.isNotNull(), F.struct(lo.alias("lo"), hi.alias("hi"), prec.alias("prec")))
 
 
+def julian_day(column: Column) -> Column:
+    """The Julian day number of a date."""
+    return F.datediff(column, F.lit("1970-01-01").cast("date")) + F.lit(2_440_588)
+
+
+def added(column: Column, n: Column | int, unit: str) -> Column:
+    """A date or time ``n`` units later: seconds, minutes, hours, days, weeks, months or years."""
+    n, unit = n if isinstance(n, Column) else F.lit(n), unit.lower().rstrip("s")
+    if unit in ("month", "year"):
+        return column + F.make_ym_interval(F.lit(0), n.cast("int") * (12 if unit == "year" else 1))
+    seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86_400, "week": 604_800}[unit]
+    return column.cast("timestamp") + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), (n.cast("long") * seconds).cast("decimal(18,6)"))
+
+
+def latitude_longitude(column: Column) -> Column:
+    """``52.5N``, ``13 24 30 E`` or a signed number as degrees."""
+    pattern = r"^\s*([+-]?[0-9]+(?:\.[0-9]+)?)[°\s]*(?:([0-9]+(?:\.[0-9]+)?)['′\s]*)?(?:([0-9]+(?:\.[0-9]+)?)[\"″\s]*)?([NSEWnsew]?)\s*$"
+    d, m, s = (F.regexp_extract(column, pattern, k).try_cast("double") for k in (1, 2, 3))
+    size = F.abs(d) + F.coalesce(m, F.lit(0.0)) / 60 + F.coalesce(s, F.lit(0.0)) / 3600
+    low = F.upper(F.regexp_extract(column, pattern, 4)).isin("S", "W") | (d < 0)
+    return F.when(column.rlike(pattern), F.when(low, -size).otherwise(size))
+
+
 def box(column: Column) -> Column:
     """``N,W,S,E`` with or without brackets or ``RECT``, as a struct of n, w, s and e."""
     num = r"\s*(-?[0-9]+(?:\.[0-9]+)?)\s*"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..collection import HITS, Collection
 from .results import result
+from .structural import of_field
 
 
 def by_words(c: Collection, words: DataFrame) -> DataFrame:
@@ -28,6 +29,19 @@ def like_record(c: Collection, source: Collection, rec_id: int, weight: float =
     return by_words(c, words)
 
 
+def like_key(c: Collection, source: Collection, key: str, field: str | None = None, weight: float = 1.0) -> DataFrame:
+    """As ``like_record`` for the record of a key, by its whole text or by one of its fields."""
+    own = source.records.where(F.col("key") == key).select("rec_id")
+    rows = source.postings.join(F.broadcast(own), "rec_id").where(F.length("term") > 2)
+    hits = F.col("hits")
+    if field is not None:
+        places = of_field(source.extents, field).join(F.broadcast(own), "rec_id").groupBy("rec_id").agg(F.collect_list(F.struct("f_start", "f_end")).alias("_ext"))
+        rows = rows.join(F.broadcast(places), "rec_id")
+        hits = F.filter("hits", lambda h: F.exists("_ext", lambda e: (h["start"] >= e["f_start"]) & (h["end"] <= e["f_end"])))
+    words = rows.select("term", F.size(hits).alias("n")).where("n > 0").groupBy("term").agg((F.sum("n") * F.lit(float(weight))).alias("weight"))
+    return by_words(c, words)
+
+
 def free_words(sentence: str) -> list[tuple[str, bool, float]]:
     """Words of a plain sentence: of three letters or more, truncated if of four or more, weighted by repetition."""
     import re

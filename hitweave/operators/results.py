@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..collection import HITS
@@ -33,3 +33,12 @@ def no_hits(n: str = "hits") -> Column:
 def renamed(df: DataFrame, prefix: str) -> DataFrame:
     """The result set with its columns but the id under a prefix."""
     return df.select("rec_id", *[F.col(c).alias(f"{prefix}_{c}") for c in COLUMNS[1:]])
+
+
+def save(found: DataFrame, path: str) -> None:
+    """A result set as a table, to be loaded again."""
+    found.select(*COLUMNS).write.mode("overwrite").parquet(path)
+
+
+def load(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"rec_id long, score double, hit_count long, aux_count long, hits {HITS}").parquet(path)

@@ -131,8 +131,25 @@ def boxes(found: DataFrame, n: float, w: float, s: float, e: float) -> DataFrame
     return result(rows.groupBy("rec_id").agg(F.sum("_score").alias("_s"), F.count(F.lit(1)).alias("_n")), score=F.col("_s"), hit_count=F.col("_n"))
 
 
-def phonetic(extents: DataFrame, field: str, words: list[str]) -> DataFrame:
-    """A phonetic field: instances in which each word sounds like one; an initial stands for what starts with it."""
+def boxed(extents: DataFrame, field: str, n: float, w: float, s: float, e: float) -> DataFrame:
+    """A box field: instances, written ``N,W,S,E``, that overlap the box."""
+    from ..functions.values import box
+
+    own = of_field(extents, field).select("rec_id", box(F.col("txt")).alias("b")).where("b is not null")
+    return boxes(own.select("rec_id", "b.*"), n, w, s, e)
+
+
+def phonetic(extents: DataFrame, field: str, words: list[str], method: str = "soundex") -> DataFrame:
+    """A phonetic field: instances in which each word sounds like one, by Soundex or Metaphone; an initial stands for what starts with it."""
+    if method == "metaphone":
+        from ..functions.phonetic import metaphones_text
+
+        @F.udf("boolean", useArrow=True)
+        def alike(text: str | None) -> bool:
+            own = [set(metaphones_text(x)) - {""} for x in (text or "").split()]
+            return all(any(x.lower().startswith(w.lower()) for x in (text or "").split()) if len(w) == 1 else any(set(metaphones_text(w)) & x for x in own) for w in words)
+
+        return _found(of_field(extents, field).where(alike(F.col("txt"))))
     tokens = F.regexp_extract_all(F.lower("txt"), F.lit("([a-z]+)"), 1)
     own = of_field(extents, field).withColumn("_words", tokens)
     for word in words:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import dataclasses
 import re
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 
@@ -16,14 +17,18 @@ from .rewrite import rewrite
 from .syntax import Node, Op, Term, parse, parse_infix, parse_rpn, to_rpn
 
 
+_BOX = re.compile(r"(?:RECT)?[\[{(]?\s*" + r"\s*,\s*".join([r"(-?[0-9.]+)"] * 4) + r"\s*[\]})]?")
+
+
 @dataclasses.dataclass
 class Engine:
     """Compiles queries over a collection.
 
     ``model``: the relevance model of the terms with its settings; ``ranker``: none,
     ``e1`` or ``e2`` applied to the whole set; ``types``: the types of fields; ``other``:
-    collections by name for JOIN; ``thesaurus``: narrower words, by which terms are
-    expanded.
+    collections by name for JOIN and feedback; ``thesaurus``: narrower words, by which
+    terms are expanded; ``before`` and ``after``: hooks that a query and its result
+    set go through.
     """
 
     collection: Collection
@@ -33,17 +38,23 @@ class Engine:
     types: dict[str, str] = dataclasses.field(default_factory=dict)
     other: dict[str, Engine] = dataclasses.field(default_factory=dict)
     thesaurus: dict[str, list[tuple[str, float]]] = dataclasses.field(default_factory=dict)
+    before: list[Callable[[Node], Node]] = dataclasses.field(default_factory=list)
+    after: list[Callable[[DataFrame], DataFrame]] = dataclasses.field(default_factory=list)
     warnings: list[str] = dataclasses.field(default_factory=list)
     _leaves: dict[Term, DataFrame] = dataclasses.field(default_factory=dict)
 
     def compile(self, query: Node | str) -> DataFrame:
         """The result set of a query, as a plan that nothing has run yet (but FOCUS-like relaxations of SearchSmart)."""
         node = parse(query) if isinstance(query, str) else query
+        for hook in self.before:
+            node = hook(node)
         found = self._node(rewrite(node))
         if self.ranker == "e1":
             found = scoring.euclidean(found)
         elif self.ranker == "e2":
             found = scoring.coverage(found)
+        for hook in self.after:
+            found = hook(found)
         return found
 
     def _node(self, node: Node) -> DataFrame:
@@ -62,8 +73,12 @@ class Engine:
 
     def _leaf(self, t: Term) -> DataFrame:
         c = self.collection
+        if t.match == "record":
+            return self._like(t)
         if t.relation:
             found = self._typed(t)
+            if self._box(t) is not None:  # scored by how far the boxes overlap
+                return terms.weighted(found, t.weight)
         elif t.match == "word" and t.text.lower() in self.thesaurus:
             found = feedback.expanded(c, t.text, self.thesaurus)
         else:
@@ -79,10 +94,25 @@ class Engine:
         found = scoring.score(found, c, self.model, weight=t.weight, **self.settings)
         return terms.free_form(found) if t.match == "free" else found
 
+    def _box(self, t: Term) -> list[float] | None:
+        """The sides of a predicate on a box field."""
+        m = _BOX.fullmatch(t.text) if t.relation and self.types.get(t.field) in (None, "box", "bounding-box") else None
+        return [float(x) for x in m.groups()] if m else None
+
+    def _like(self, t: Term) -> DataFrame:
+        """Records like that of a key: the OR of its words, or of those in one of its fields (``key/field``)."""
+        source = self.other[t.field].collection if t.field in self.other else self.collection if t.field == self.collection.name else None
+        if source is None:
+            raise QueryError(114, f"no collection {t.field}")
+        key, _, field = t.text.partition("/")
+        return feedback.like_key(self.collection, source, key, field or None, t.weight)
+
     def _typed(self, t: Term) -> DataFrame:
         """A predicate by the field's type; without a declared type, by what the literal looks like."""
         exts, field, how, text = self._exts(), t.field, t.relation, t.text
         kind = self.types.get(field)
+        if (box := self._box(t)) is not None:
+            return typed.boxed(exts, field, *box)
         if kind is None:
             kind = "date" if text.startswith("#") or re.fullmatch(r"[0-9]{4}-[0-9]{2}(-[0-9]{2})?|[\[{][0-9]{4}-.*", text) else "number" if re.fullmatch(r"-?[0-9.]+", text) else "range" if re.fullmatch(r"[\[(].*[\])]|.+\.\..+", text) else "currency" if re.match(r"[$£¥€¤]", text) else "text"
         if kind in ("number", "numerical", "num", "computed", "range"):
@@ -114,8 +144,8 @@ class Engine:
             return typed.hashed(exts, field, text, kind)
         if kind == "boolean":
             return typed.truth(exts, field, text.lower()[:1] in "1ty")
-        if kind == "phonetic":
-            return typed.phonetic(exts, field, text.split())
+        if kind in ("phonetic", "phone2", "metaphone", "name"):
+            return typed.phonetic(exts, field, text.split(), "metaphone" if kind in ("metaphone", "name") else "soundex")
         if how in ("<>", "!="):
             return structural.not_field(self.collection.records, structural.within(terms.term(self.collection, text), exts, field), exts, field)
         found = terms.prefix(self.collection, text) if how in (">", ">=") else terms.term(self.collection, text)
@@ -227,15 +257,16 @@ class Engine:
         return sets.join_key(a, self.collection.records, b, far.collection.records)
 
 
-def search(c: Collection, query: str, notation: str = "", sort: str = "score", top: int | None = None, **options) -> DataFrame:
-    """``query`` over ``c`` with the records' metadata; deleted records are left out last.
+def search(c: Collection, query: Node | str, notation: str = "", sort: str = "score", top: int | None = None, start: int = 0, **options) -> DataFrame:
+    """``query`` over ``c`` in an order, from place ``start`` on ``top`` records; deleted records are left out last.
 
     ``notation``: rpn, infix, or what fits.
     """
-    node = {"rpn": parse_rpn, "infix": parse_infix}.get(notation, parse)(query)
+    node = {"rpn": parse_rpn, "infix": parse_infix}.get(notation, parse)(query) if isinstance(query, str) else query
     found = Engine(c, **options).compile(node)
     kept = found.join(c.records.where("not deleted").select("rec_id"), "rec_id", "left_semi")
     out = sorting.sort(kept, c, sort)
+    out = out.offset(start) if start else out
     return out.limit(top) if top else out
 
 

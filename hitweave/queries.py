@@ -7,6 +7,7 @@ extents), the orders (a record holds typed fields), and the benchmark's items.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,10 +19,11 @@ from .collection import Collection, extents, records
 from .functions import text as T
 from .functions import values as V
 from .operators import feedback, reducers, scan, scoring, sets, sorting, structural, terms, typed, vectors
-from .plans import Engine, search, search_smart
+from .operators.results import load, save
+from .plans import Engine, search, search_smart, word
 from .sources import html as html_source
 from .sources import tables
-from .storage import written
+from .storage import scratch, written
 from .streaming import upserts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -177,7 +179,7 @@ def _rpn(name: str, text: str, sql: str | None, collection: Callable[[SparkSessi
 
 # --- terms -------------------------------------------------------------------------------------------------------------------------------
 
-_rpn("term_exact", "garden", _sql(_T, _word("a", "garden"), out="FROM a"))
+_rpn("term_exact", "Thatin", _sql(_T, _word("a", "thatin"), out="FROM a"))
 _rpn("term_exact_common", "the", _sql(_T, _word("a", "the"), out="FROM a"))
 _rpn("term_prefix", "ther*", _sql(_T, _leaf("a", "starts_with(w, 'ther')"), out="FROM a"))
 _rpn("term_suffix", "*tion", _sql(_T, _leaf("a", "suffix(w, 'tion')"), out="FROM a"))
@@ -258,6 +260,12 @@ def feedback_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(feedback.like_record(documents(spark, sf_dir), items(spark, sf_dir), 3))
 
 
+@query("feedback_syntax", ORACLE_SQL["feedback_record"])
+def feedback_syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by the record's key within a query."""
+    return digest(Engine(documents(spark, sf_dir), other={"items": Engine(items(spark, sf_dir))}).compile("items//doc-3"))
+
+
 @query(
     "free_words",
     _sql(_T, _leaf("a", "starts_with(w, 'that')", 2.0), _leaf("b", "w = 'the'"), out=_OR),
@@ -519,6 +527,16 @@ def geo_dateline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return typed.boxes(_boxes(spark), 8.0, 175.0, -8.0, -176.0).select("rec_id")
 
 
+@query("geo_field", "SELECT rec_id, score FROM (" + ORACLE_SQL["geo_overlap"] + ")")
+def geo_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A box field by its text, within a query."""
+    text = F.concat_ws(",", *[F.col(x).cast("string") for x in "nwse"])
+    exts = extents(_boxes(spark), "area", rec_id="rec_id", ftype=F.lit("box"), txt=text)
+    recs = records(_boxes(spark).withColumn("text", F.lit("")), "rec_id", "text")
+    found = Engine(Collection.of(recs, exts, indexed=False)).compile("area=[58,-5,48,10]")
+    return found.select("rec_id", F.round("score", 6).alias("score"))
+
+
 @query("phonetic_field")
 def phonetic_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers whose name sounds like the words."""
@@ -691,15 +709,34 @@ _rpn("q_infix_field", "user/(the or of)", _sql(_C, _leaf("a", "w = 'the' AND rol
 _rpn("q_plain_words", "that from", ORACLE_SQL["op_or"])
 
 
+@query("q_builder", ORACLE_SQL["q_rpn"])
+def q_builder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same built in Python."""
+    return digest(Engine(documents(spark, sf_dir)).compile(word("that") & word("from") | word("und")))
+
+
+@query("q_page", _sql(_T, _word("a", "that"), out="FROM a ORDER BY score DESC, rec_id DESC LIMIT 10 OFFSET 20"))
+def q_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page of results."""
+    return digest(search(documents(spark, sf_dir), "that", start=20, top=10))
+
+
 @query("q_smart", ORACLE_SQL["term_phrase"])
 def q_smart(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(search_smart(Engine(documents(spark, sf_dir)), "of the")[0])
 
 
-@query("q_smart_loose", _sql(_T, _word("a", "garden"), _word("b", "zu"), f"o AS ({_OR})", out="FROM o WHERE aux_count >= 2"))
+@query(
+    "q_smart_loose",
+    _sql(
+        _P, _leaf("x", "TRUE", source="(SELECT x.rec_id FROM p AS x JOIN p AS y ON x.rec_id = y.rec_id AND y.ord = x.ord + 1 WHERE x.w = 'thatin' AND y.w = 'on')"),
+        _leaf("a", "w = 'thatin'", source="p"), _leaf("b", "w = 'on'", source="p"), f"o AS ({_OR})",
+        out="FROM x UNION ALL BY NAME FROM (FROM o WHERE aux_count >= 2 AND NOT EXISTS (FROM x))",
+    ),
+)
 def q_smart_loose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """No record has the phrase, so all words are asked for."""
-    return digest(search_smart(Engine(documents(spark, sf_dir)), "garden zu")[0])
+    """Where no record has the phrase, all words are asked for."""
+    return digest(search_smart(Engine(documents(spark, sf_dir)), "thatin on")[0])
 
 
 # --- vectors -------------------------------------------------------------------------------------------------------------------------------------------------
@@ -795,7 +832,19 @@ def present_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("result_roundtrip", ORACLE_SQL["op_or"])
 def result_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A result set saved and loaded again."""
-    return digest(written(Engine(documents(spark, sf_dir)).compile("that from OR"), "result"))
+    path = f"{scratch(spark)}/result-{uuid.uuid4().hex}"
+    save(Engine(documents(spark, sf_dir)).compile("that from OR"), path)
+    return digest(load(spark, path))
+
+
+@query(
+    "index_import",
+    f"WITH t AS (SELECT doc_id AS rec_id, unnest({_WORDS}) AS w FROM documents UNION ALL SELECT item_id - (SELECT min(item_id) FROM benchmark) + 1 + (SELECT max(doc_id) FROM documents), unnest({_WORDS}) FROM benchmark), {_word('a', 'that')} "
+    + _OUT.format("a"),
+)
+def index_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection with another's records added."""
+    return digest(Engine(documents(spark, sf_dir).imported(items(spark, sf_dir))).compile("that"))
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------------------------------------------------

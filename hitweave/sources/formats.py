@@ -160,6 +160,8 @@ def _tagged(doctype: str, first: str, line: str, key: tuple[str, ...], date: tup
 
     def split(text: str) -> Iterator[Parsed]:
         begins = [m.start() for m in start.finditer(text)]
+        if not begins:
+            return
         for s, e in zip(begins, [*begins[1:], len(text)], strict=True):
             body = text[s:e].rstrip()
             yield _named(body, s, pattern, doctype, key, date, names)
@@ -582,8 +584,8 @@ def detect(data: bytes) -> str:
         return "MAILDIGEST"
     if len(lines) > 1:
         for sep in "\t,;|\x1f":
-            counts = {x.count(sep) for x in lines[:5] if x}
-            if len(counts) == 1 and counts.pop() > 0 and len(lines[0]) < 1000:
+            cells = [len(row) for row in csv_module.reader(io.StringIO("\n".join(lines)), delimiter=sep)]
+            if len(cells) > 1 and cells[0] == cells[1] > 1 and len(lines[0]) < 1000:
                 return "CSV"
     if lines and all(_COLON.match(x) or x[:1] in " \t" or not x.strip() for x in lines):
         return "COLONGRP" if re.search(r"\n[ \t]*\n\S", head) else "COLONDOC"
