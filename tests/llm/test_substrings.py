@@ -34,8 +34,8 @@ def brute(rows, length):
     return out
 
 
-def run(spark, rows, **options):
-    df = spark.createDataFrame([(n, *r) for n, r in enumerate(rows)], "n int, doc_id long, text string")
+def run(spark, given, **options):
+    df = spark.createDataFrame([(n, *r) for n, r in enumerate(given)], "n int, doc_id long, text string")
     got = {}
     for r in substrings.repeated_substrings(df, carry=["n"], **options).collect():
         assert all(a.end < b.start for a, b in zip(r.removed, r.removed[1:]))
