@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ASCII_WORD
-from .storage import written
+from .storage import discard, written
 
 #: Columns of a record beside its id and text, with their types; what a source lacks is null.
 RECORD = {
@@ -133,8 +133,11 @@ class Collection:
         counts = None
         if indexed:
             counts = written(_counted(recs), "counts")
-            # ranges of (word, record): a very common word takes several files, and all files are sorted
-            rows = written(rows.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
+            # ranges of (word, record): a very common word takes several files, and all files are sorted;
+            # finding the ranges takes a pass over the rows, which should not make them again
+            raw = written(rows, "words")
+            rows = written(raw.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
+            discard(raw)
         return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)
 
     def imported(self, other: Collection) -> Collection:
