@@ -1,16 +1,21 @@
 """Toxicity by multiple-instance learning: a document is a bag of sentences.
 
 Only documents carry labels.  A sentence's probability is a logistic function of
-its hashed words; a document is toxic if any sentence is, which the noisy-or
+its words' weights; a document is toxic if any sentence is, which the noisy-or
 ``1 - prod(1 - p)`` puts in a smooth form.  The weights maximise the likelihood
 of the documents' labels, so the sentences are never labelled, yet the trained
 model tells which of them offend.
+
+A word weighs what its character n-grams (with its ends marked) weigh, so that
+forms that were never seen are known by their stems.  Only n-grams with which
+label 1 is significantly more frequent have a weight, by the likelihood ratio of
+their document counts.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,12 +24,14 @@ from ._base import extended
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 3000
-#: Buckets of the hashed words.
-BUCKETS = 1 << 20
-#: Steps of the fit.
-STEPS = 150
-#: Bytes of text that are scored at a time.
-CHUNK = 4 << 20
+#: Lengths of the n-grams, beside whole words; the likelihood ratio that they have at least.
+LENGTHS, RATIO = (3, 4, 5, 6), 20.0
+#: Buckets of the first count of n-grams.
+BUCKETS = 1 << 21
+#: Steps of the fit and their size, and the penalty.
+STEPS, STEP, PENALTY = 150, 0.1, 1e-5
+#: Bytes of text that are scored at a time; words whose weight a task remembers.
+CHUNK, REMEMBERED = 4 << 20, 500_000
 
 _BREAK = b"\x01"
 #: Words stay (A-Z lower-cased), sentence ends become a mark, all else a space.
@@ -34,51 +41,119 @@ _BYTES = bytes(
 )
 
 
-class _Buckets(dict):
-    """A word's bucket; the mark's is -1.  Forgets all when it grows large."""
+def _words(text: bytes) -> list[bytes]:
+    """The words, and a mark at each sentence's end."""
+    return text.translate(_BYTES).replace(_BREAK, b" \x01 ").split()
+
+
+def grams(word: bytes, lengths: Sequence[int] = LENGTHS) -> set[bytes]:
+    """The word between marks of its ends, and the n-grams (of bytes) of that."""
+    s = b"^" + word + b"$"
+    return {s, *(s[at : at + n] for n in lengths for at in range(len(s) - n + 1))}
+
+
+@dataclasses.dataclass
+class Model:
+    """weights: of n-grams; bias: of every sentence."""
+
+    weights: dict[bytes, float]
+    bias: float
+    lengths: tuple[int, ...] = LENGTHS
+
+    def word(self, word: bytes) -> float:
+        get = self.weights.get
+        return sum(sorted(w for g in grams(word, self.lengths) if (w := get(g)) is not None))
+
+    def sentences(self, values):
+        """For words' weights, with nan at each sentence's end: the sentences' log-odds.  Those without words are at -inf."""
+        import numpy as np
+
+        end = np.isnan(values)
+        ends = np.flatnonzero(end)
+        sums = np.concatenate([[0.0], np.cumsum(np.where(end, 0.0, values))])
+        counts = np.concatenate([[0], np.cumsum(~end)])
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        return np.where(counts[ends] > counts[starts], sums[ends] - sums[starts] + self.bias, -np.inf)
+
+
+class _Weights(dict):
+    """Words' weights as they come; forgets all when it grows large."""
 
-    def __init__(self):
+    def __init__(self, model):
         super().__init__()
-        self[_BREAK] = -1
+        self.model = model
+        self[_BREAK] = float("nan")
 
     def __missing__(self, word):
-        import zlib
-
-        if len(self) > 500_000:
+        if len(self) > REMEMBERED:
             self.clear()
-            self[_BREAK] = -1
-        got = self[word] = zlib.crc32(word) & (BUCKETS - 1)
+            self[_BREAK] = float("nan")
+        got = self[word] = self.model.word(word)
         return got
 
 
-def _tokens(text, buckets):
+def _ratio(ones, zeros, all_ones, all_zeros):
+    """The likelihood ratio of counts in the documents of both labels, 0 where label 1 isn't the more frequent."""
     import numpy as np
 
-    words = text.translate(_BYTES).replace(_BREAK, b" \x01 ").split()
-    return np.fromiter((buckets[w] for w in words), np.int64, len(words))
+    def part(seen, expected):
+        return np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expected, 1e-9)), 0.0)
 
+    both, n = ones + zeros, all_ones + all_zeros
+    total = part(ones, both * all_ones / n) + part(zeros, both * all_zeros / n)
+    total += part(all_ones - ones, (n - both) * all_ones / n) + part(all_zeros - zeros, (n - both) * all_zeros / n)
+    return np.where(ones * all_zeros > zeros * all_ones, 2 * total, 0.0)
 
-@dataclasses.dataclass
-class Model:
-    """weights: of the buckets; bias: of every sentence."""
 
-    weights: object
-    bias: float
+def _counted(flat, ends, size, owner, word, y):
+    """In how many documents of each label the features occur: ``flat[ends[w]:ends[w + 1]]`` are those of word w."""
+    import numpy as np
 
-    def sentences(self, tokens):
-        """For sentences that a -1 ends: their log-odds.  Sentences without words stay at -inf."""
-        import numpy as np
+    counts = np.zeros((2, size))
+    cuts = np.searchsorted(owner, np.arange(len(y) + 1))
+    for n, label in enumerate(y):
+        own = word[cuts[n] : cuts[n + 1]]
+        sizes = ends[own + 1] - ends[own]
+        at = np.arange(sizes.sum()) + np.repeat(ends[own] - np.cumsum(sizes) + sizes, sizes)
+        counts[int(label), np.unique(flat[at])] += 1
+    return _ratio(counts[1], counts[0], y.sum(), len(y) - y.sum())
 
-        ends = np.flatnonzero(tokens < 0)
-        word = tokens >= 0
-        sums = np.concatenate([[0.0], np.cumsum(np.where(word, self.weights[np.maximum(tokens, 0)], 0.0))])
-        counts = np.concatenate([[0], np.cumsum(word)])
-        starts = np.concatenate([[0], ends[:-1] + 1])
-        return np.where(counts[ends] > counts[starts], sums[ends] - sums[starts] + self.bias, -np.inf)
+
+def _chosen(vocabulary, words, docs, y, lengths, ratio):
+    """N-grams with weights: their names, and which words have which.
+
+    A first count is of hashed n-grams, which takes little memory; those of the
+    buckets that stand out are counted by name.
+    """
+    import zlib
+    from array import array
+
+    import numpy as np
+
+    pairs = np.unique(docs * len(vocabulary) + words)
+    owner, word = pairs // len(vocabulary), pairs % len(vocabulary)
+
+    def features(number) -> tuple:
+        flat, ends = array("i"), array("q", [0])
+        for w in vocabulary:
+            flat.extend({k for g in grams(w, lengths) if (k := number(g)) is not None})
+            ends.append(len(flat))
+        return np.array(flat, np.int32), np.array(ends)
+
+    flat, ends = features(lambda g: zlib.crc32(g) % BUCKETS)
+    out = set(np.flatnonzero(_counted(flat, ends, BUCKETS, owner, word, y) >= ratio).tolist())
+    names: dict[bytes, int] = {}
+    flat, ends = features(lambda g: names.setdefault(g, len(names)) if zlib.crc32(g) % BUCKETS in out else None)
+    keep = np.flatnonzero(_counted(flat, ends, len(names), owner, word, y) >= ratio)
+    place = np.full(len(names), -1)
+    place[keep] = np.arange(len(keep))
+    has = place[flat] >= 0
+    every = list(names)
+    return [every[k] for k in keep], np.repeat(np.arange(len(vocabulary)), np.diff(ends))[has], place[flat[has]]
 
 
-def fit(bags: Iterable[tuple[list[int], int]], share: float | None = None, steps: int = STEPS) -> Model:
-    """Maximum likelihood of the labels of ``(tokens, label)`` bags under the noisy-or, with a small L2 penalty.
+def fit(bags: Iterable[tuple[Sequence[bytes], int]], share: float | None = None, steps: int = STEPS, lengths: Sequence[int] = LENGTHS, ratio: float = RATIO) -> Model:
+    """Maximum likelihood of the labels of ``(words, label)`` bags under the noisy-or, with a small L2 penalty.
 
     ``share``: of label 1 among all labelled documents, where the bags hold the
     classes in another proportion.  Without one of the classes, the model's
@@ -86,10 +161,11 @@ def fit(bags: Iterable[tuple[list[int], int]], share: float | None = None, steps
     """
     import numpy as np
 
+    vocabulary: dict[bytes, int] = {_BREAK: -1}
     words, sents, docs, labels = [], [], [], []
     n = 0
-    for tokens, label in bags:
-        tokens = np.asarray(tokens, np.int64)
+    for bag, label in bags:
+        tokens = np.fromiter((vocabulary.setdefault(w, len(vocabulary) - 1) for w in bag), np.int64, len(bag))
         ids = np.cumsum(tokens < 0)[tokens >= 0]
         if not len(ids):
             continue
@@ -101,50 +177,42 @@ def fit(bags: Iterable[tuple[list[int], int]], share: float | None = None, steps
         labels.append(label)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model(np.zeros(BUCKETS), 20.0 if len(y) and y[0] else -750.0)
+        return Model({}, 20.0 if len(y) and y[0] else -750.0, tuple(lengths))
+    del vocabulary[_BREAK]
     words, sents, docs = np.concatenate(words), np.concatenate(sents), np.concatenate(docs)
-    # a word counts once a sentence, and only words of two documents or more have a weight
-    once = np.unique(words * (n + 1) + sents)
-    words, sents = once // (n + 1), once % (n + 1)
-    seen = np.unique(words * (len(y) + 1) + docs[sents]) // (len(y) + 1)
-    kept, times = np.unique(seen, return_counts=True)
-    kept = kept[times > 1]
-    column = np.searchsorted(kept, words)
-    column = np.minimum(column, max(0, len(kept) - 1))
-    known = kept[column] == words if len(kept) else np.zeros(len(words), bool)
-    column, sents = column[known], sents[known]
+    names, who, what = _chosen(list(vocabulary), words, docs[sents], y, lengths, ratio)
+    # the other words weigh nothing
+    weighs = np.zeros(len(vocabulary), bool)
+    weighs[who] = True
+    words, sents = words[weighs[words]], sents[weighs[words]]
     share = y.mean() if share is None else min(max(share, 1e-6), 1 - 1e-6)
     cost = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
-    theta = np.zeros(len(kept) + 1)
+    theta = np.zeros(len(names) + 1)
     theta[-1] = -5.0
     first, second = np.zeros_like(theta), np.zeros_like(theta)
     for step in range(1, steps + 1):
-        z = np.bincount(sents, theta[column], n) + theta[-1]
+        value = np.bincount(who, theta[what], len(vocabulary))
+        z = np.bincount(sents, value[words], n) + theta[-1]
         soft = np.logaddexp(0, z)
         total = np.maximum(np.bincount(docs, soft, len(y)), 1e-12)
         pull = np.where(y > 0, 1 / np.expm1(np.minimum(total, 700)), -1.0) * cost
         dz = pull[docs] * np.exp(z - soft)
-        grad = np.append(np.bincount(column, dz[sents], len(kept)), dz.sum())
-        grad[:-1] -= 1e-5 * theta[:-1]
+        grad = np.append(np.bincount(what, np.bincount(words, dz[sents], len(vocabulary))[who], len(names)), dz.sum())
+        grad[:-1] -= PENALTY * theta[:-1]
         first = 0.9 * first + 0.1 * grad
         second = 0.99 * second + 0.01 * grad * grad
-        theta += 0.2 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
-    weights = np.zeros(BUCKETS)
-    weights[kept] = theta[:-1]
-    return Model(weights, float(theta[-1]))
+        theta += STEP * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-9)
+    return Model(dict(zip(names, theta[:-1].tolist(), strict=True)), float(theta[-1]), tuple(lengths))
 
 
 def _bags(batches):
     import pyarrow as pa
 
-    buckets = _Buckets()
     for batch in batches:
         texts = batch.column(0).cast(pa.binary())
         for row in range(batch.num_rows):  # a row at a time: texts may be very long
-            tokens = _tokens(texts[row].as_py() or b"", buckets)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([tokens.astype("int32")], pa.list_(pa.int32())), batch.column(1).slice(row, 1)], ["tokens", "label"]
-            )
+            words = pa.array([_words(texts[row].as_py() or b"")], pa.list_(pa.binary()))
+            yield pa.RecordBatch.from_arrays([words, batch.column(1).slice(row, 1)], ["words", "label"])
 
 
 def train(
@@ -172,16 +240,17 @@ def train(
     # at most twice the sample: broadcast, so that the documents aren't shuffled
     picked = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(picked, "id").select("text", "label").mapInArrow(_bags, "tokens array<int>, label int")
+    rows = texts.join(picked, "id").select("text", "label").mapInArrow(_bags, "words array<binary>, label int")
     share = count.get(1, 0) / max(1, sum(count.values()))
-    return fit(((r.tokens, r.label) for r in rows.toLocalIterator(prefetchPartitions=True)), share)
+    return fit(((r.words, r.label) for r in rows.toLocalIterator(prefetchPartitions=True)), share)
 
 
 def _scored(batches, model, threshold):
     import numpy as np
     import pyarrow as pa
 
-    model, buckets = model.value, _Buckets()
+    model = model.value
+    weights = _Weights(model)
     spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
     for batch in batches:
         texts = batch.column(0).cast(pa.binary())
@@ -191,9 +260,9 @@ def _scored(batches, model, threshold):
             first, parts, ends, n, read = at, [], [], 0, 0
             while at < batch.num_rows and read < CHUNK:
                 text = texts[at].as_py() or b""
-                tokens = np.append(_tokens(text, buckets), -1)
-                parts.append(tokens)
-                n += int((tokens < 0).sum())
+                words = _words(text) + [_BREAK]
+                parts.append(np.fromiter((weights[w] for w in words), float, len(words)))
+                n += words.count(_BREAK)
                 ends.append(n)
                 read += len(text)
                 at += 1

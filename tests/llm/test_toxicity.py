@@ -3,13 +3,12 @@
 import math
 import zlib
 
-import numpy as np
 import pytest
 
 from hitweave.llm import toxicity
 from hitweave.llm.queries import op2_toxicity_noisy_or
 
-BIG = "/root/testdata/sf0.01"
+BIG = "/root/testdata/sf0.1"
 
 
 def brute(text, model):
@@ -23,7 +22,11 @@ def brute(text, model):
             sentence.append(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 39 else 32)
     for words in out:
         if words:
-            z = model.bias + sum(model.weights[zlib.crc32(w) & toxicity.BUCKETS - 1] for w in words)
+            z = model.bias
+            for w in words:
+                marked = b"^" + w + b"$"
+                parts = {marked} | {marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 6, len(marked)) + 1)}
+                z += sum(model.weights.get(p, 0.0) for p in parts)
             keep *= 1 - 1 / (1 + math.exp(-max(-700, min(700, z))))
     return 1 - keep
 
@@ -50,19 +53,19 @@ def test_held_out_accuracy(spark):
     assert toxic and clean
     above = sum((a > b) + 0.5 * (a == b) for a in toxic for b in clean) / (len(toxic) * len(clean))
     assert above >= 0.9, above
-    assert sum((s >= 0.5) == bool(y) for s, y in rows) / len(rows) >= 0.9
+    assert sum(s >= 0.5 for s in toxic) >= 0.8 * len(toxic) and sum(s >= 0.5 for s in clean) <= 0.01 * len(clean)
 
 
 def test_held_out_labels_and_other_columns_do_not_matter(spark, sf_dir, model):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     other = toxicity.train(docs.selectExpr("doc_id", "text", "'x' as lang", "'y' as source"), labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
-    assert np.array_equal(model.weights, other.weights) and model.bias == other.bias
+    assert model.weights == other.weights and model.bias == other.bias
 
 
 def test_finds_the_offending_sentence(spark):
     clean = ["The garden is green. Rain fell at night.", "We walk to the river. It is cold.", "Bread and butter. Tea at five."] * 10
     toxic = ["The garden is green. You foul grubwort scum. Rain fell.", "Bread and butter. A grubwort scum lives here.", "We walk. Foul grubwort! It is cold."] * 10
-    bags = [(toxicity._tokens(t.encode(), toxicity._Buckets()), y) for y, ts in ((0, clean), (1, toxic)) for t in ts]
+    bags = [(toxicity._words(t.encode()), y) for y, ts in ((0, clean), (1, toxic)) for t in ts]
     m = toxicity.fit(bags)
     df = spark.createDataFrame([(1, "Tea at night. Foul grubwort scum walks. The river is cold."), (2, "Tea at night. The river is cold.")], "doc_id long, text string")
     got = {r.doc_id: r for r in toxicity.scored(df, m).collect()}
@@ -71,7 +74,7 @@ def test_finds_the_offending_sentence(spark):
 
 
 def test_one_class_only():
-    assert toxicity.fit([]).bias < -700 and toxicity.fit([([1, 2], 0)]).bias < -700 and toxicity.fit([([1, 2], 1)]).bias > 0
+    assert toxicity.fit([]).bias < -700 and toxicity.fit([([b"a", b"b"], 0)]).bias < -700 and toxicity.fit([([b"a", b"b"], 1)]).bias > 0
 
 
 def test_edges(spark, model):
