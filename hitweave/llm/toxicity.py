@@ -20,7 +20,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import extended
+from ._base import extended, written
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 3000
@@ -105,18 +105,19 @@ def _ratio(ones, zeros, all_ones, all_zeros):
     return np.where(ones * all_zeros > zeros * all_ones, 2 * total, 0.0)
 
 
-def _counted(flat, ends, size, owner, word, y):
-    """In how many documents of each label the features occur: ``flat[ends[w]:ends[w + 1]]`` are those of word w."""
+def _telling(flat, ends, size, owner, word, y, least):
+    """The features with a likelihood ratio of ``least`` or more: ``flat[ends[w]:ends[w + 1]]`` are those of word w."""
     import numpy as np
 
-    counts = np.zeros((2, size))
+    counts = np.zeros((2, size), np.int32)
     cuts = np.searchsorted(owner, np.arange(len(y) + 1))
     for n, label in enumerate(y):
         own = word[cuts[n] : cuts[n + 1]]
         sizes = ends[own + 1] - ends[own]
         at = np.arange(sizes.sum()) + np.repeat(ends[own] - np.cumsum(sizes) + sizes, sizes)
         counts[int(label), np.unique(flat[at])] += 1
-    return _ratio(counts[1], counts[0], y.sum(), len(y) - y.sum())
+    some = np.flatnonzero(counts[1])
+    return some[_ratio(counts[1, some].astype(float), counts[0, some].astype(float), y.sum(), len(y) - y.sum()) >= least]
 
 
 def _chosen(vocabulary, words, docs, y, lengths, ratio):
@@ -130,21 +131,21 @@ def _chosen(vocabulary, words, docs, y, lengths, ratio):
 
     import numpy as np
 
-    pairs = np.unique(docs * len(vocabulary) + words)
-    owner, word = pairs // len(vocabulary), pairs % len(vocabulary)
+    pairs = np.unique(docs.astype(np.int64) * len(vocabulary) + words)
+    owner, word = (pairs // len(vocabulary)).astype(np.int32), (pairs % len(vocabulary)).astype(np.int32)
+    del pairs
 
     def features(number) -> tuple:
         flat, ends = array("i"), array("q", [0])
         for w in vocabulary:
             flat.extend({k for g in grams(w, lengths) if (k := number(g)) is not None})
             ends.append(len(flat))
-        return np.array(flat, np.int32), np.array(ends)
+        return np.frombuffer(flat, np.int32) if flat else np.zeros(0, np.int32), np.frombuffer(ends, np.int64)
 
-    flat, ends = features(lambda g: zlib.crc32(g) % BUCKETS)
-    out = set(np.flatnonzero(_counted(flat, ends, BUCKETS, owner, word, y) >= ratio).tolist())
+    out = set(_telling(*features(lambda g: zlib.crc32(g) % BUCKETS), BUCKETS, owner, word, y, ratio).tolist())
     names: dict[bytes, int] = {}
     flat, ends = features(lambda g: names.setdefault(g, len(names)) if zlib.crc32(g) % BUCKETS in out else None)
-    keep = np.flatnonzero(_counted(flat, ends, len(names), owner, word, y) >= ratio)
+    keep = _telling(flat, ends, len(names), owner, word, y, ratio)
     place = np.full(len(names), -1)
     place[keep] = np.arange(len(keep))
     has = place[flat] >= 0
@@ -165,15 +166,15 @@ def fit(bags: Iterable[tuple[Sequence[bytes], int]], share: float | None = None,
     words, sents, docs, labels = [], [], [], []
     n = 0
     for bag, label in bags:
-        tokens = np.fromiter((vocabulary.setdefault(w, len(vocabulary) - 1) for w in bag), np.int64, len(bag))
+        tokens = np.fromiter((vocabulary.setdefault(w, len(vocabulary) - 1) for w in bag), np.int32, len(bag))
         ids = np.cumsum(tokens < 0)[tokens >= 0]
         if not len(ids):
             continue
         ids = np.concatenate([[0], np.cumsum(np.diff(ids) > 0)])
         words.append(tokens[tokens >= 0])
-        sents.append(ids + n)
+        sents.append((ids + n).astype(np.int32))
         n += int(ids[-1]) + 1
-        docs.append(np.full(int(ids[-1]) + 1, len(labels)))
+        docs.append(np.full(int(ids[-1]) + 1, len(labels), np.int32))
         labels.append(label)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -211,8 +212,8 @@ def _bags(batches):
     for batch in batches:
         texts = batch.column(0).cast(pa.binary())
         for row in range(batch.num_rows):  # a row at a time: texts may be very long
-            words = pa.array([_words(texts[row].as_py() or b"")], pa.list_(pa.binary()))
-            yield pa.RecordBatch.from_arrays([words, batch.column(1).slice(row, 1)], ["words", "label"])
+            words = b" ".join(_words(texts[row].as_py() or b""))
+            yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), batch.column(1).slice(row, 1)], ["words", "label"])
 
 
 def train(
@@ -240,9 +241,11 @@ def train(
     # at most twice the sample: broadcast, so that the documents aren't shuffled
     picked = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(picked, "id").select("text", "label").mapInArrow(_bags, "words array<binary>, label int")
+    rows = texts.join(picked, "id").select("text", "label").mapInArrow(_bags, "words binary, label int")
     share = count.get(1, 0) / max(1, sum(count.values()))
-    return fit(((r.words, r.label) for r in rows.toLocalIterator(prefetchPartitions=True)), share)
+    # the sample is cut out by all tasks at once; its documents come one by one, each a string of bytes, of which the fit keeps numbers
+    rows = written(rows, "labelled")
+    return fit(((bytes(r.words).split(), r.label) for r in rows.toLocalIterator()), share)
 
 
 def _scored(batches, model, threshold):
