@@ -2,7 +2,7 @@
 
 ``records``   rec_id, key, doctype, file_name, lang, date, .., text, rec_len, deleted
 ``extents``   rec_id, field, path, ftype, f_start, f_end, depth, txt, num, num_hi, ts_lo, ts_hi
-``postings``  term, rec_id, rec_len, hits array<struct<start, end, ord>>
+``postings``  term, rec_id, tf, hits array<struct<start, end, ord>>
 
 ``f_start`` and ``f_end`` are the first and last character of an extent, as
 ``start`` and ``end`` are of a word; both count from 0.  Postings hold one row for
@@ -34,7 +34,7 @@ EXTENT = {
     "num": "double", "num_hi": "double", "ts_lo": "timestamp", "ts_hi": "timestamp",
 }
 HITS = "array<struct<start:long,end:long,src:int>>"
-_POSTINGS = "term string, rec_id long, rec_len long, hits array<struct<start:int,end:int,ord:int>>"
+_POSTINGS = "term string, rec_id long, tf int, hits array<struct<start:int,end:int,ord:int>>"
 
 
 def records(df: DataFrame, rec_id: str, text: str, **columns: Column | str) -> DataFrame:
@@ -53,14 +53,25 @@ def records(df: DataFrame, rec_id: str, text: str, **columns: Column | str) -> D
 
 
 def extents(df: DataFrame, field: Column | str, **columns: Column | str) -> DataFrame:
-    """Rows of ``df`` as instances of a field; ``columns`` gives those of ``EXTENT`` that it has."""
+    """Rows of ``df`` as instances of a field; ``columns`` gives those of ``EXTENT`` that it has.
+
+    Names match in any case and with any separator, so they are kept in one form:
+    in lower case, parted by ``/``.  The field is the last part of the path.
+    """
     own = {k: (F.col(v) if isinstance(v, str) else v) for k, v in columns.items()}
-    own["field"] = F.lit(field) if isinstance(field, str) else field
-    own.setdefault("path", own["field"])
+    name = F.lit(field) if isinstance(field, str) else field
+    own["path"] = F.regexp_replace(F.lower(own.get("path", name)), r"[\\|/]+", "/")
+    own["field"] = F.lower(name)
     return df.select(*[own.get(k, F.lit(0 if k == "depth" else None)).cast(t).alias(k) for k, t in EXTENT.items()])
 
 
+def by_field(exts: DataFrame) -> DataFrame:
+    """Extents in the order in which they are written: a predicate on a field reads the row groups of that field."""
+    return exts.repartitionByRange("field", "rec_id").sortWithinPartitions("field", "path", "num", "ts_lo")
+
+
 def _posted(batches, pattern, stop):
+    """A row for each word of ``(rec_id, text)``: the number of its hits stands beside them, so that counting doesn't read them."""
     import re
 
     import pyarrow as pa
@@ -68,17 +79,17 @@ def _posted(batches, pattern, stop):
     find = re.compile(pattern).finditer
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32())]))
     for batch in batches:
-        ids, lengths = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        terms, recs, lens, sizes, starts, ends, ords = [], [], [], [0], [], [], []
+        ids = batch.column(0).to_pylist()
+        terms, recs, counts, sizes, starts, ends, ords = [], [], [], [0], [], [], []
 
         def out():
             hits = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (starts, ends, ords)], ["start", "end", "ord"])
             lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), hits)
             return pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array(recs, pa.int64()), pa.array(lens, pa.int64()), lists.cast(kind)], ["term", "rec_id", "rec_len", "hits"]
+                [pa.array(terms, pa.string()), pa.array(recs, pa.int64()), pa.array(counts, pa.int32()), lists.cast(kind)], ["term", "rec_id", "tf", "hits"]
             )
 
-        for rec, length, text in zip(ids, lengths, batch.column(2), strict=True):
+        for rec, text in zip(ids, batch.column(1), strict=True):
             own: dict[str, list[tuple[int, int, int]]] = {}
             for n, m in enumerate(find(lowered(text.as_py()))):
                 word = m.group()
@@ -87,7 +98,7 @@ def _posted(batches, pattern, stop):
             for word, hits in own.items():
                 terms.append(word)
                 recs.append(rec)
-                lens.append(length)
+                counts.append(len(hits))
                 for s, e, n in hits:
                     starts.append(s)
                     ends.append(e)
@@ -95,7 +106,7 @@ def _posted(batches, pattern, stop):
                 sizes.append(len(starts))
             if len(starts) > 200_000:
                 yield out()
-                terms, recs, lens, sizes, starts, ends, ords = [], [], [], [0], [], [], []
+                terms, recs, counts, sizes, starts, ends, ords = [], [], [], [0], [], [], []
         if terms:
             yield out()
 
@@ -129,7 +140,7 @@ class Collection:
         Deleted records are searched as well and left out when results are presented.
         """
         stop = frozenset(stopwords)
-        rows = recs.select("rec_id", "rec_len", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
+        rows = _indexing(recs, pattern, stop)
         counts = None
         if indexed:
             counts = written(_counted(recs), "counts")
@@ -140,6 +151,10 @@ class Collection:
             discard(raw)
         return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)
 
+    def indexing(self, recs: DataFrame) -> DataFrame:
+        """The postings of some records, made from their texts."""
+        return _indexing(recs, self.pattern, self.stopwords)
+
     def imported(self, other: Collection) -> Collection:
         """This collection with another's records, which get ids beyond the largest of this one's."""
         last = self.records.agg(F.coalesce(F.max("rec_id"), F.lit(-1))).first()[0]
@@ -156,12 +171,16 @@ class Collection:
 
     def vocabulary(self) -> DataFrame:
         """``(term, tf, df)`` of all words."""
-        return self.postings.groupBy("term").agg(F.sum(F.size("hits")).alias("tf"), F.count(F.lit(1)).alias("df"))
+        return self.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
 
     def statistics(self) -> DataFrame:
         """One row: ``n_records`` and ``avg_len`` over all records, deleted ones too."""
         return _counted(self.records) if self.counts is None else self.counts
 
 
+def _indexing(recs: DataFrame, pattern: str, stop: frozenset[str]) -> DataFrame:
+    return recs.select("rec_id", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
+
+
 def _counted(recs: DataFrame) -> DataFrame:
     return recs.agg(F.count(F.lit(1)).alias("n_records"), F.avg("rec_len").alias("avg_len"))

@@ -137,7 +137,15 @@ def metaphones_text(word: str) -> tuple[str, str]:
                 step = 2
             elif two == "SC":
                 if w[at + 2 : at + 3] == "H":
-                    add("X" if w[at + 3 : at + 5] in ("ER", "EN") else "SK", "SK")
+                    after = w[at + 3 : at + 5]
+                    if after in ("ER", "EN"):
+                        add("X", "SK")
+                    elif after in ("OO", "UY", "ED", "EM"):
+                        add("SK")
+                    elif at == 0 and after[:1] and after[0] not in "AEIOUYW":
+                        add("X", "S")
+                    else:
+                        add("X")
                     step = 3
                 elif w[at + 2 : at + 3] in tuple("IEY"):
                     add("S")

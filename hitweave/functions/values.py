@@ -159,7 +159,7 @@ def box(column: Column) -> Column:
 
 def card_valid(column: Column) -> Column:
     """Whether the digits of a card number pass the check."""
-    return F.coalesce(F.luhn_check(F.regexp_replace(column, r"[ -]", "")), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", F.regexp_replace(column, r"[ -]", "")), F.lit(False))
 
 
 def isbn_valid_text(text: str) -> bool:

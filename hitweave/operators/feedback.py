@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..collection import HITS, Collection
@@ -17,7 +17,7 @@ def by_words(c: Collection, words: DataFrame) -> DataFrame:
 
     The words are joined with the postings, so that there may be any number of them.
     """
-    rows = c.postings.join(words, "term").withColumn("_n", F.size("hits"))
+    rows = c.postings.join(words, "term").withColumn("_n", F.col("tf").cast("long"))
     hits = F.flatten(F.collect_list(F.transform("hits", lambda h: F.struct(h["start"].cast("long").alias("start"), h["end"].cast("long").alias("end"), F.lit(0).alias("src")))))
     got = rows.groupBy("rec_id").agg(F.sum(F.col("weight") * F.col("_n")).alias("_s"), F.sum("_n").alias("_h"), F.count(F.lit(1)).alias("_a"), hits.cast(HITS).alias("_hits"))
     return result(got, score=F.col("_s"), hit_count=F.col("_h"), aux_count=F.col("_a"), hits=F.col("_hits"))
@@ -25,21 +25,24 @@ def by_words(c: Collection, words: DataFrame) -> DataFrame:
 
 def like_record(c: Collection, source: Collection, rec_id: int, weight: float = 1.0) -> DataFrame:
     """Relevance feedback: the words of a record, each weighted by how often it occurs, against this collection."""
-    words = source.postings.where(F.col("rec_id") == rec_id).where(F.length("term") > 2).select("term", (F.size("hits") * F.lit(float(weight))).alias("weight"))
-    return by_words(c, words)
+    return by_words(c, _weighed(source, F.col("rec_id") == rec_id, None, weight))
 
 
 def like_key(c: Collection, source: Collection, key: str, field: str | None = None, weight: float = 1.0) -> DataFrame:
     """As ``like_record`` for the record of a key, by its whole text or by one of its fields."""
-    own = source.records.where(F.col("key") == key).select("rec_id")
-    rows = source.postings.join(F.broadcast(own), "rec_id").where(F.length("term") > 2)
-    hits = F.col("hits")
+    return by_words(c, _weighed(source, F.col("key") == key, field, weight))
+
+
+def _weighed(source: Collection, which: Column, field: str | None, weight: float) -> DataFrame:
+    """``(term, weight)`` of the words of three letters or more in some records, which are read again: the index is sorted by words."""
+    rows = source.indexing(source.records.where(which)).where(F.length("term") > 2)
+    n = F.col("tf")
     if field is not None:
-        places = of_field(source.extents, field).join(F.broadcast(own), "rec_id").groupBy("rec_id").agg(F.collect_list(F.struct("f_start", "f_end")).alias("_ext"))
-        rows = rows.join(F.broadcast(places), "rec_id")
-        hits = F.filter("hits", lambda h: F.exists("_ext", lambda e: (h["start"] >= e["f_start"]) & (h["end"] <= e["f_end"])))
-    words = rows.select("term", F.size(hits).alias("n")).where("n > 0").groupBy("term").agg((F.sum("n") * F.lit(float(weight))).alias("weight"))
-    return by_words(c, words)
+        own = source.records.where(which).select("rec_id")
+        places = of_field(source.extents, field).join(own, "rec_id", "left_semi").groupBy("rec_id").agg(F.collect_list(F.struct("f_start", "f_end")).alias("_ext"))
+        rows = rows.join(places, "rec_id")
+        n = F.size(F.filter("hits", lambda h: F.exists("_ext", lambda e: (h["start"] >= e["f_start"]) & (h["end"] <= e["f_end"]))))
+    return rows.select("term", n.alias("n")).where("n > 0").groupBy("term").agg((F.sum("n") * F.lit(float(weight))).alias("weight"))
 
 
 def free_words(sentence: str) -> list[tuple[str, bool, float]]:

@@ -32,7 +32,7 @@ def terms(c: Collection, pattern: str | None = None, method: str = "", field: st
     """``(term, freq)``: words of two letters or more; ``pattern``: a prefix, a glob, or several parted by ``|``; in a field if given."""
     rows = c.postings.where(_wanted(F.col("term"), pattern, method)).where(~F.col("term").isin(*c.stopwords) if c.stopwords else F.lit(True))
     if field is None:
-        return rows.groupBy("term").agg(F.sum(F.size("hits")).cast("long").alias("freq"))
+        return rows.groupBy("term").agg(F.sum("tf").cast("long").alias("freq"))
     own = of_field(c.extents, field).groupBy("rec_id").agg(F.collect_list(F.struct("f_start", "f_end")).alias("_ext"))
     inside = F.filter("hits", lambda h: F.exists("_ext", lambda e: (h["start"] >= e["f_start"]) & (h["end"] <= e["f_end"])))
     return rows.join(own, "rec_id").select("term", F.size(inside).alias("n")).where("n > 0").groupBy("term").agg(F.sum("n").cast("long").alias("freq"))

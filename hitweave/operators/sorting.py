@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..collection import Collection
+from ..storage import written
 
 #: What the orders need of a record.
 _META = {"date": "date", "reverse_date": "date", "key": "key", "category": "category", "newsrank": "date", "adjscore": "category"}
@@ -91,7 +92,8 @@ def neighbours(c: Collection) -> DataFrame:
     and last key of each, which are as few as there are ranges.
     """
     keys = c.records.where("key is not null").select("rec_id", "key")
-    placed = keys.repartitionByRange("key").withColumn("_part", F.spark_partition_id())
+    # written, so that both uses see the same ranges
+    placed = written(keys.repartitionByRange("key").withColumn("_part", F.spark_partition_id()), "keys")
     order = Window.partitionBy("_part").orderBy("key", "rec_id")
     rows = placed.withColumn("_prev", F.lag("key").over(order)).withColumn("_next", F.lead("key").over(order))
     ends = placed.groupBy("_part").agg(F.min("key").alias("_first"), F.max("key").alias("_last"))

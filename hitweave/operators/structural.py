@@ -6,6 +6,8 @@ of them hold a hit is decided within the row.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,12 +17,14 @@ from .results import COLUMNS, renamed, result
 
 
 def of_field(extents: DataFrame, field: str) -> DataFrame:
-    """Extents of a field by its name, path, or a glob of either; the case and kind of separators don't matter."""
+    """Extents of a field by its name, path, end of a path, or a glob of these; the case and kind of separators don't matter."""
     name = field_glob(field)
-    path = F.lower(F.regexp_replace("path", r"[\\|/]+", "/"))
     if is_glob(name):
-        return extents.where(matches_glob(F.lower("field"), name) | matches_glob(path, name))
-    return extents.where((F.lower("field") == name) | (path == name) | path.endswith(f"/{name}"))
+        return extents.where(matches_glob(F.col("field"), name) | matches_glob(F.col("path"), name) | matches_glob(F.col("path"), f"*/{name}"))
+    # the last part stands in a column of its own, which the scan can prune by
+    last = re.split("[/@]", name)[-1]
+    own = extents.where(F.col("field") == last)
+    return own if last == name else own.where((F.col("path") == name) | F.col("path").endswith(f"/{name}"))
 
 
 def _grouped(extents: DataFrame) -> DataFrame:

@@ -16,12 +16,12 @@ from .results import no_hits, result
 def _one(df: DataFrame, src: int) -> DataFrame:
     """Postings of a single word: one row for each record already."""
     hits = F.transform("hits", lambda h: F.struct(h["start"].cast("long").alias("start"), h["end"].cast("long").alias("end"), F.lit(src).alias("src")))
-    return result(df, hit_count=F.size("hits"), hits=hits)
+    return result(df, hit_count=F.col("tf"), hits=hits)
 
 
 def _many(df: DataFrame, src: int) -> DataFrame:
     """Postings of several words, brought together by record."""
-    rows = df.groupBy("rec_id").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    rows = df.groupBy("rec_id").agg(F.sum("tf").alias("tf"), F.flatten(F.collect_list("hits")).alias("hits"))
     return _one(rows, src)
 
 

@@ -18,23 +18,28 @@ def _found(rows: DataFrame) -> DataFrame:
     return result(got, hit_count=F.col("_n"), hits=F.col("_hits"))
 
 
+def _upper(how: str, value: Column) -> Column:
+    """A relation of a range's end, or of the number where it is none; in a form that the scan can use."""
+    test = relation(how)
+    return test(F.col("num_hi"), value) | (F.col("num_hi").isNull() & test(F.col("num"), value))
+
+
 def numeric(extents: DataFrame, field: str, how: str, value: float) -> DataFrame:
     """A relation to a number; ``<>``: records that have the field without an equal value.  For range fields: ranges that hold a number in relation."""
     own = of_field(extents, field).where(F.col("num").isNotNull())
     lit = F.lit(float(value))
+    same = (F.col("num") <= lit) & _upper(">=", lit)
     if how in ("<>", "!="):
-        same = own.where((F.col("num") <= lit) & (F.coalesce("num_hi", "num") >= lit)).select("rec_id")
-        return _found(own.join(same, "rec_id", "left_anti"))
-    hi = F.coalesce("num_hi", "num")
+        return _found(own.join(own.where(same).select("rec_id"), "rec_id", "left_anti"))
     if how in ("=", "=="):
-        return _found(own.where((F.col("num") <= lit) & (hi >= lit)))
-    return _found(own.where(relation(how)(hi if how in (">", ">=") else F.col("num"), lit)))
+        return _found(own.where(same))
+    return _found(own.where(_upper(how, lit) if how in (">", ">=") else relation(how)(F.col("num"), lit)))
 
 
 def interval(extents: DataFrame, field: str, low: float, high: float) -> DataFrame:
     """Numbers, or ranges, that meet ``[low, high]``."""
     own = of_field(extents, field)
-    return _found(own.where((F.col("num") <= F.lit(float(high))) & (F.coalesce("num_hi", "num") >= F.lit(float(low)))))
+    return _found(own.where((F.col("num") <= F.lit(float(high))) & _upper(">=", F.lit(float(low)))))
 
 
 def hashed(extents: DataFrame, field: str, value: str, kind: str = "hash") -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import presentation
-from .collection import Collection, extents, records
+from .collection import Collection, by_field, extents, records
 from .functions import text as T
 from .functions import values as V
 from .operators import feedback, reducers, scan, scoring, sets, sorting, structural, terms, typed, vectors
@@ -97,7 +97,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> Collection:
             .unionByName(extents(placed, "turn", path=F.lit("conversation/exchange/turn"), depth=F.lit(2), txt="text", **own))
             .unionByName(extents(placed, F.col("role"), path=F.concat(F.lit("conversation/exchange/turn/"), F.col("role")), depth=F.lit(3), txt="text", **own))
         )
-        return Collection.of(records(whole, "conv_id", "text"), written(exts, "extents"), name="conversations")
+        return Collection.of(records(whole, "conv_id", "text"), written(by_field(exts), "extents"), name="conversations")
 
     return _once(spark, sf_dir, "conversations", make)
 
@@ -122,8 +122,7 @@ def orders(spark: SparkSession, sf_dir: str) -> Collection:
             .unionByName(extents(line, "quantity", ftype=F.lit("range"), rec_id="l_orderkey", num="q_lo", num_hi="q_hi"))
             .unionByName(extents(line, "shipping", ftype=F.lit("daterange"), rec_id="l_orderkey", ts_lo=F.col("s_lo").cast("timestamp"), ts_hi=F.col("s_hi").cast("timestamp")))
         )
-        # sorted by field, so that a predicate reads the row groups of its own field only
-        exts = written(exts.repartitionByRange("field", "rec_id").sortWithinPartitions("field", "num", "ts_lo"), "extents")
+        exts = written(by_field(exts), "extents")
         recs = records(o, "o_orderkey", "o_orderpriority", key=F.concat(F.lit("cust-"), F.col("o_custkey").cast("string")), doctype="o_orderstatus", date=F.col("o_orderdate").cast("timestamp"))
         return Collection.of(recs, exts, indexed=False, name="orders")
 

@@ -40,6 +40,6 @@ def ingest(stream: DataFrame, store: Store, checkpoint: str, tables: Callable[[D
 
 def activity(stream: DataFrame, time: str, keys: list[str], window: str = "1 hour", late: str = "1 day", value: Column | None = None) -> DataFrame:
     """How often each key came in each window of event time; what is later than ``late`` is left out, as the state is kept no longer."""
-    grouped = stream.withWatermark(time, late).groupBy(F.window(time, window), *keys)
+    grouped = stream.withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late).groupBy(F.window(time, window), *keys)
     total = [F.sum(value).alias("total")] if value is not None else []
     return grouped.agg(F.count(F.lit(1)).alias("n"), *total).select(F.col("window.start").alias("start"), F.col("window.end").alias("end"), *keys, "n", *[c for c in ("total",) if total])

@@ -14,7 +14,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..collection import _POSTINGS, EXTENT, RECORD, Collection, _posted
+from ..collection import _POSTINGS, EXTENT, RECORD, Collection, _indexing, by_field
 from ..functions.text import ASCII_WORD
 from .upserts import newest
 
@@ -48,11 +48,10 @@ class Store:
         self._write("records", batch, recs.where("not (deleted and text = '')"))
         self._write("deleted", batch, gone)
         kept = self.spark.read.schema(_RECORDS.rsplit(", ", 1)[0]).parquet(f"{self.path}/records/batch={batch}")
-        pattern, stop = self.pattern, self.stopwords
-        rows = kept.select("rec_id", "rec_len", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
+        rows = _indexing(kept, self.pattern, self.stopwords)
         self._write("postings", batch, rows.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"))
         if exts is not None:
-            self._write("extents", batch, exts.select(*EXTENT).join(kept.select("rec_id"), "rec_id", "left_semi"))
+            self._write("extents", batch, by_field(exts.select(*EXTENT).join(kept.select("rec_id"), "rec_id", "left_semi")))
 
     def delete(self, batch: int, keys: DataFrame, restore: bool = False) -> None:
         """Deletes the records of the keys, or restores them."""

@@ -117,9 +117,9 @@ def test_tables(spark, tmp_path):
     assert {(x.field, str(x.ts_lo)) for x in e if x.ts_lo} >= {("day", "2020-01-02 00:00:00"), ("day", "1999-01-01 00:00:00")}
     (tmp_path / "a.ndjson").write_text("\n".join(json.dumps(x) for x in ({"k": "a", "v": {"n": 1}}, {"k": "b", "v": [1, 2]})) + "\n")
     recs, exts = tables.ndjson(spark, str(tmp_path / "a.ndjson"), key="k")
-    assert {r.key for r in recs.collect()} == {"a", "b"} and {(x.path, x.num) for x in exts.collect() if x.num} == {("v|n", 1.0), ("v|0", 1.0), ("v|1", 2.0)}
+    assert {r.key for r in recs.collect()} == {"a", "b"} and {(x.path, x.num) for x in exts.collect() if x.num} == {("v/n", 1.0), ("v/0", 1.0), ("v/1", 2.0)}
     rows = spark.createDataFrame([(1, '{"a": [1, {"b": 2}]}'), (2, None), (3, "not json"), (4, "[]")], "i long, j string")
-    assert {(x.rec_id, x.path) for x in tables.json_extents(rows, "i", "j", arrays=False).collect()} == {(1, "a"), (1, "a|b")}
+    assert {(x.rec_id, x.path) for x in tables.json_extents(rows, "i", "j", arrays=False).collect()} == {(1, "a"), (1, "a/b")}
 
 
 def test_own_formats(spark, tmp_path):
