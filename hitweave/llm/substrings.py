@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from ._base import extended, written
 
-#: Bytes of text that are hashed at a time.
-CHUNK = 4 << 20
+#: Bytes of text that are hashed at a time (or one text).
+CHUNK = 2 << 20
 #: Contexts that are sorted at a time.  A bucket of more goes another way: see ``_windows``.
 BUCKET_ROWS = 20_000
 #: Heavy anchors that are broadcast at most; more are joined by a shuffle.
