@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ASCII_WORD
-from .storage import discard, written
+from .storage import discard, spread, written
 
 #: Columns of a record beside its id and text, with their types; what a source lacks is null.
 RECORD = {
@@ -74,39 +74,38 @@ def _posted(batches, pattern, stop):
     """A row for each word of ``(rec_id, text)``: the number of its hits stands beside them, so that counting doesn't read them."""
     import re
 
+    import numpy as np
     import pyarrow as pa
 
     find = re.compile(pattern).finditer
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32())]))
     for batch in batches:
-        ids = batch.column(0).to_pylist()
-        terms, recs, counts, sizes, starts, ends, ords = [], [], [], [0], [], [], []
+        terms, recs, codes, starts, ends, ords = [], [], [], [], [], []
 
         def out():
-            hits = pa.StructArray.from_arrays([pa.array(x, pa.int32()) for x in (starts, ends, ords)], ["start", "end", "ord"])
-            lists = pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), hits)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(terms, pa.string()), pa.array(recs, pa.int64()), pa.array(counts, pa.int32()), lists.cast(kind)], ["term", "rec_id", "tf", "hits"]
-            )
-
-        for rec, text in zip(ids, batch.column(1), strict=True):
-            own: dict[str, list[tuple[int, int, int]]] = {}
+            code = np.array(codes, np.int32)  # of each hit: its row
+            order = np.argsort(code, kind="stable")
+            counts = np.bincount(code, minlength=len(terms)).astype(np.int32)
+            hits = pa.StructArray.from_arrays([pa.array(np.array(x, np.int32)[order]) for x in (starts, ends, ords)], ["start", "end", "ord"])
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), hits)
+            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(recs, pa.int64()), pa.array(counts), lists.cast(kind)], ["term", "rec_id", "tf", "hits"])
+
+        for rec, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            own: dict[str, int] = {}
+            base = len(terms)
             for n, m in enumerate(find(lowered(text.as_py()))):
                 word = m.group()
                 if word not in stop:
-                    own.setdefault(word, []).append((m.start(), m.end() - 1, n))
-            for word, hits in own.items():
-                terms.append(word)
-                recs.append(rec)
-                counts.append(len(hits))
-                for s, e, n in hits:
-                    starts.append(s)
-                    ends.append(e)
+                    codes.append(base + own.setdefault(word, len(own)))
+                    start, end = m.span()
+                    starts.append(start)
+                    ends.append(end - 1)
                     ords.append(n)
-                sizes.append(len(starts))
+            terms.extend(own)
+            recs.extend([rec] * len(own))
             if len(starts) > 200_000:
                 yield out()
-                terms, recs, counts, sizes, starts, ends, ords = [], [], [], [0], [], [], []
+                terms, recs, codes, starts, ends, ords = [], [], [], [], [], []
         if terms:
             yield out()
 
@@ -146,7 +145,7 @@ class Collection:
             counts = written(_counted(recs), "counts")
             # ranges of (word, record): a very common word takes several files, and all files are sorted;
             # finding the ranges takes a pass over the rows, which should not make them again
-            raw = written(rows, "words")
+            raw = written(_indexing(spread(recs), pattern, stop), "words")
             rows = written(raw.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
             discard(raw)
         return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)

@@ -46,6 +46,12 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A small input of fewer parts than there are cores, dealt out to all of them; any other as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by ``written`` that nothing reads any more."""
     _delete(df.sparkSession, df._hitweave_path)
