@@ -19,7 +19,7 @@ Anchors with many homes are cut into blocks that different tasks compare.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -249,6 +249,14 @@ def without_near_duplicates(
     and rows without an id stay only where their class has no other.
     """
     marks, owner = _classes(docs, id_col, text_col, shingle, threshold, homes)
+    return survivors(docs, marks, owner, lambda d, i, t, carry: fingerprints(d, i, t, shingle, carry), id_col, text_col)
+
+
+def survivors(docs: DataFrame, marks: DataFrame, owner: DataFrame, mark: Callable[..., DataFrame], id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` of which one stays of each class of ``owner(fp, root, component)``.
+
+    ``marks``: (id, fp) of every row, by ``mark``.
+    """
     owner = written(owner, "classes")
     again = written(marks.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
     gone = written(marks.join(owner, "fp").where("id <> component").select("id").distinct(), "duplicates")
@@ -262,7 +270,7 @@ def without_near_duplicates(
     clear = having(gone, "left_anti", having(again, "left_anti", docs.where(number.isNotNull())))
     rest = docs.where(number.isNull()).unionByName(having(again, "left_semi"))
     names = docs.columns
-    rows = fingerprints(rest.toDF(*[f"r{i}" for i in range(len(names))]), f"r{names.index(id_col)}", f"r{names.index(text_col)}", shingle, [f"r{i}" for i in range(len(names))])
+    rows = mark(rest.toDF(*[f"r{i}" for i in range(len(names))]), f"r{names.index(id_col)}", f"r{names.index(text_col)}", [f"r{i}" for i in range(len(names))])
     rows = rows.join(owner, "fp").where("component is null or id = component")
     first = Window.partitionBy("root").orderBy(F.col("id").asc_nulls_last(), F.col(f"r{names.index(text_col)}"))
     rows = rows.withColumn("place", F.row_number().over(first)).where("place = 1")
