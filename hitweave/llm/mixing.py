@@ -5,11 +5,13 @@ repeated ``w * size / (its own size)`` times on average.  Each document draws
 how often it is repeated from the Poisson distribution with that mean, by
 inverting it at a uniform number that a hash of the seed and the document's id
 gives: the draw needs no state, is the same in every run, and documents of
-equal ids are drawn alike.  The copies are then shuffled over all partitions.
+equal ids are drawn alike.  A mean above ``PART`` is the sum of independent draws
+of equal means up to it, each at a hash of its own.  The copies are then shuffled over all partitions.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +19,14 @@ from pyspark.sql import functions as F
 
 from ._base import written
 
-#: No source is repeated more often than this on average: weights beyond it aren't reached.
-MOST = 16.0
-#: Terms of the distribution; beyond them is less than 2**-53 of it at a mean of MOST.
+#: No source is repeated more often than this on average; a caller may bound it.
+MOST = math.inf
+#: The largest mean of a single draw.
+PART = 16.0
+#: Terms of the distribution; beyond them is less than 2**-53 of it at a mean of PART.
 TERMS = 100
+#: Draws of one document, and copies, that are listed at a time.
+DRAWS, COPIES = 4096, 65536
 
 
 def uniform(*parts: Column) -> Column:
@@ -39,6 +45,20 @@ def poisson_table(rate: Column) -> Column:
     return F.filter(F.aggregate(F.sequence(F.lit(1), F.lit(TERMS)), start, step, lambda a: a["all"]), lambda c: c < 1.0)
 
 
+def repetitions(ident: Column, parts: Column, table: Column, seed: int) -> Column:
+    """How often a document is repeated: the sum of ``parts`` draws from ``table``."""
+
+    def drawn(u: Column) -> Column:
+        return F.size(F.filter(table, lambda c: c <= u)).cast("long")
+
+    def some(first: Column, last: Column) -> Column:
+        return F.aggregate(F.sequence(first, last), F.lit(0).cast("long"), lambda a, k: a + drawn(uniform(F.lit(f"{seed}/part"), ident, k.cast("string"))))
+
+    blocks = F.sequence(F.lit(0).cast("long"), F.floor((parts - 1) / DRAWS))
+    many = F.aggregate(blocks, F.lit(0).cast("long"), lambda a, b: a + some(b * DRAWS + 1, F.least((b + 1) * DRAWS, parts)))
+    return F.when(parts == 1, drawn(uniform(F.lit(str(seed)), ident))).otherwise(many)
+
+
 def rates(
     docs: DataFrame, weights: Mapping[str, float] | None = None, source_col: str = "source", text_col: str = "text", alpha: float = 0.5, size: float | None = None, most: float = MOST
 ) -> DataFrame:
@@ -85,12 +105,17 @@ def mix(
     names = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
     table = rates(docs, weights, source_col, text_col, alpha, size, most)
     # a row of a few numbers for each source: Spark broadcasts it if its file is small
-    table = written(table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), poisson_table(F.col("rate")).alias("_table")), "rates")
+    parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("long")
+    table = written(
+        table.select(F.col("source").alias("_source"), F.col("rate").alias("_rate"), parts.alias("_parts"), poisson_table(F.col("rate") / parts).alias("_table")), "rates"
+    )
     # the rows' own columns travel in a struct, whatever their names
     rows = docs.select(F.struct(*names).alias("row"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("ident"), F.col(source_col).cast("string").alias("own"))
     drawn = rows.join(table, F.col("own").eqNullSafe(F.col("_source")))
-    u = uniform(F.lit(str(seed)), F.col("ident"))
-    copies = drawn.withColumn("n", F.size(F.filter("_table", lambda c: c <= u))).where("n > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n"))))
+    counted = drawn.withColumn("n", repetitions(F.col("ident"), F.col("_parts"), F.col("_table"), seed)).where("n > 0")
+    blocks = counted.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / COPIES))))
+    copies = blocks.withColumn("copy", F.explode(F.sequence(F.col("block") * COPIES + 1, F.least((F.col("block") + 1) * COPIES, F.col("n")))))
+    copies = copies.withColumn("copy", F.col("copy").cast("int"))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/copy"), F.col("ident"), F.col("copy").cast("string"))), 1, 16)
     out = copies.select("row", "ident", "copy", F.col("_rate").alias("rate"), key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "ident")
     return out.select(*[F.col("row")[c].alias(c) for c in names], "copy", "rate", "shuffle_key")

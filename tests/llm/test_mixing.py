@@ -54,3 +54,23 @@ def test_edges(spark):
     extra = df.withColumnRenamed("copy", "_own").selectExpr("*", "1 as _n", "2 as ident", "3 as row")
     assert mixing.mix(extra).columns == [*extra.columns, "copy", "rate", "shuffle_key"]
     assert {r._own for r in mixing.mix(extra, size=1e6).collect()} == {9}
+
+
+def test_small_sources_reach_their_weights(spark):
+    df = spark.range(20_000).selectExpr("id as doc_id", "if(id % 100 = 0, 'small', 'big') as source", "'some text' as text")
+    rows = mixing.mix(df, {"small": 0.5, "big": 0.5}).select("doc_id", "source", "copy", "rate").collect()
+    n = {}
+    for r in rows:
+        if r.source == "small":
+            n.setdefault(r.doc_id, []).append(r.copy)
+            assert abs(r.rate - 50) < 1e-9
+    assert abs(sum(map(len, n.values())) - 10_000) < 500 and abs(len(rows) - 20_000) < 800
+    assert all(sorted(v) == list(range(1, len(v) + 1)) for v in n.values())
+    spread = sum((len(v) - 50) ** 2 for v in n.values()) / len(n)
+    assert len(n) == 200 and 30 < spread < 75  # that of a Poisson distribution, its mean
+
+
+def test_very_many_copies_of_one(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "b", "y" * 1000)], "doc_id long, source string, text string")
+    got = mixing.mix(df, {"a": 1.0}, size=200_000).groupBy().agg({"copy": "max", "*": "count"}).first()
+    assert got["max(copy)"] == got["count(1)"] and abs(got["count(1)"] - 200_000) < 3000
