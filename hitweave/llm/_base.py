@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..storage import discard, written
 
-__all__ = ["WORD_BYTES", "components", "discard", "extended", "written"]
+__all__ = ["WORD_BYTES", "components", "discard", "extended", "free", "meet", "written"]
+
+#: A key is hot if it has more rows than this, and more than one in ``SHARE`` of all: so there are at most ``SHARE`` such keys.
+HOT, SHARE = 1_000, 10_000
 
 #: Lower-cases A-Z and turns what is in no word into spaces: ``text.translate(WORD_BYTES).split()``
 #: gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
@@ -22,6 +27,39 @@ def extended(carried: DataFrame, skip: int, more: str) -> T.StructType:
     return T.StructType(carried.schema.fields[skip:] + T._parse_datatype_string(more).fields)
 
 
+def free(names: Iterable[str], taken: Iterable[str], suffix: str = "") -> list[str]:
+    """An operator's own column names, each with ``suffix`` and as many underscores as keep it apart from those ``taken``.
+
+    Column names are compared as Spark does by default, without regard to case.
+    """
+    used, out = {t.lower() for t in taken}, []
+    for name in names:
+        name += suffix
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
+def meet(rows: DataFrame, one: DataFrame, on: str | Sequence[str], how: str = "inner", hot: int = HOT) -> DataFrame:
+    """``rows`` joined with ``one``, which has one row of bounded size for a key, in a way that no hot key lands in one task.
+
+    The rows of hot keys (at most ``SHARE`` keys, found by a count that is combined
+    before its shuffle) stay where they are and meet a broadcast of their rows of
+    ``one``; all others go by a shuffled join.  ``rows`` is read again: a written table.
+    """
+    on = [on] if isinstance(on, str) else list(on)
+    counts = written(rows.groupBy(*on).count().where(F.col("count") > hot), "counts")
+    total = rows.count() if counts.limit(1).count() else 0
+    keys = counts.where(F.col("count") > total // SHARE).select(*on)
+    if not total or not keys.limit(1).count():
+        return rows.join(one, on, how)
+    keys = F.broadcast(keys)
+    some = rows.join(keys, on, "left_semi").join(F.broadcast(one.join(keys, on, "left_semi")), on, how)
+    return rows.join(keys, on, "left_anti").join(one, on, how).unionByName(some)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(a, b)`` (longs, undirected, loops ignored).
 
