@@ -6,6 +6,12 @@ the calendar.  Each is replaced by another value of the same format, the image
 under a keyed permutation: a Feistel network over two halves of a number, walked
 on until the image is in the format's domain.  Equal values (of one kind) have
 equal pseudonyms in all documents, and who has the key can reverse them.
+
+What makes values equal: addresses without regard to case, card numbers, IBANs
+and SSNs without regard to how they are grouped, dates in any notation (but for
+the few whose image the notation can't write).  Of phone numbers the country code
+stays, and where it ends shows in the writing alone: two ways of writing a number
+are linked if the code is set apart in both or in neither.
 """
 
 from __future__ import annotations
@@ -19,7 +25,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import extended
+from ._base import extended, free
 
 #: Rounds of the network.
 ROUNDS = 8
@@ -35,10 +41,14 @@ def permuted(key: bytes, tweak: bytes, value: int, size: int, back: bool = False
         raise ValueError(f"{value} is not below {size}")
     half = max(1, ((size - 1).bit_length() + 1) // 2)
     mask, wide = (1 << half) - 1, (half + 7) // 8
+    bound = size.to_bytes((size.bit_length() + 7) // 8, "big")
+    head = b"".join(len(part).to_bytes(4, "big") + part for part in (tweak, bound))
 
     def f(n: int, x: int) -> int:
-        head = len(tweak).to_bytes(2, "big") + tweak + bytes([n]) + size.to_bytes(32, "big") + x.to_bytes(wide, "big")
-        return int.from_bytes(hmac.digest(key, head, hashlib.sha256), "big") & mask
+        given, out = head + bytes([n]) + x.to_bytes(wide, "big"), b""
+        while len(out) < wide:  # a digest for each 256 bits of the half
+            out += hmac.digest(key, given + (len(out) // 32).to_bytes(4, "big"), hashlib.sha256)
+        return int.from_bytes(out[:wide], "big") & mask
 
     while True:
         left, right = value >> half, value & mask
@@ -79,14 +89,14 @@ def _digits(key, kind, text, digits, back, keep, low, high):
 
 def _card(key, text, back):
     digits = re.sub(r"\D", "", text)
-    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1 or digits[0] not in "23456":
-        return None
-    body = digits[1:-1]  # the first digit tells the kind of card
-    got = permuted(key, b"card" + digits[0].encode() + bytes([len(digits)]), int(body), 10 ** len(body), back)
-    new = digits[0] + str(got).zfill(len(body))
-    if len(set(new)) == 1 and new[0] == str(luhn(new)):
+    if not 13 <= len(digits) <= 19 or luhn(digits[:-1]) != int(digits[-1]) or len(set(digits)) == 1:
         return None
-    return _into(text, new + str(luhn(new)))
+    first, new = digits[0], digits[:-1]  # the first digit tells the kind of card
+    while True:  # a number of equal digits is no card
+        got = permuted(key, b"card" + first.encode() + bytes([len(digits)]), int(new[1:]), 10 ** (len(new) - 1), back)
+        new = first + str(got).zfill(len(new) - 1)
+        if len(set(new + str(luhn(new)))) > 1:
+            return _into(text, new + str(luhn(new)))
 
 
 def _phone(key, text, back):
@@ -165,15 +175,20 @@ def _classes(key, kind, text, back):
     return "".join(reversed(out))
 
 
+#: Characters of an address at most; what is longer is none.
+ADDRESS = 1024
+
+
 def _email(key, text, back):
-    local, _, domain = text.rpartition("@")
-    labels = domain.split(".")
-    # the top-level domain stays, so that the address stays one
-    host = ".".join(labels[:-1])
-    both = _classes(key, b"email", f"{local}@{host}", back)
-    return f"{both}.{labels[-1]}"
+    if len(text) > ADDRESS:
+        return None
+    # the top-level domain stays, so that the address stays one; capitals stay where they are
+    rest, _, top = text.rpartition(".")
+    both = _classes(key, b"email", rest.lower(), back)
+    return "".join(n.upper() if o.isupper() else n for o, n in zip(rest, both, strict=True)) + f".{top}"
 
 
+#: The years whose dates have their images among themselves.
 _FIRST, _LAST = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 
 
@@ -188,15 +203,16 @@ def _date(key, text, back):
         n = datetime.date(int(year), int(month), int(day)).toordinal()
     except ValueError:
         return None
-    if not _FIRST <= n <= _LAST:
-        return None
+    near = _FIRST <= n <= _LAST
+    low, high = (_FIRST, _LAST) if near else (1, datetime.date.max.toordinal())
     short = len(month) == 1 or len(day) == 1
     # a format's own dates among themselves: what is written must read as the same format again
-    walk = n
     while True:
-        walk = permuted(key, b"date" + order.encode() + sign.encode() + bytes([short]), walk - _FIRST, _LAST - _FIRST + 1, back) + _FIRST
-        d = datetime.date.fromordinal(walk)
-        if order == "dmy" and sign == "/" and d.day <= 12:
+        n = permuted(key, b"date" + bytes([near]), n - low, high - low + 1, back) + low
+        d = datetime.date.fromordinal(n)
+        if not near and _FIRST <= n <= _LAST:
+            continue
+        if d.day <= 12 and (order, sign) in (("dmy", "/"), ("mdy", "-")):
             continue
         if short and d.month > 9 and d.day > 9:
             continue
@@ -207,9 +223,10 @@ def _date(key, text, back):
 
 #: (kind, pattern, what gives the pseudonym or None where the value isn't valid), in the order in which they take a place.
 KINDS: tuple[tuple[str, str, Callable], ...] = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}", _email),
+    # the run of characters before the @ is read once, from its first letter or digit on
+    ("email", r"(?<![A-Za-z0-9._%+-])[._%+-]*+(?P<at>[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,})", _email),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[A-Z0-9]{11,30}|(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?)(?![A-Za-z0-9])", _iban),
-    ("date", r"(?<![\w./-])(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?![\w/-]|\.[0-9])", _date),
+    ("date", r"(?<![\w./-])(?:[0-9]{4}(?P<d1>[-/.])[0-9]{1,2}(?P=d1)[0-9]{1,2}|[0-9]{1,2}(?P<d2>[-/.])[0-9]{1,2}(?P=d2)[0-9]{4})(?:(?=T[0-9]{2}:)|(?![\w/-]|\.[0-9]))", _date),
     ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![\w]|\.[0-9])", _ip),
     ("card", r"(?<![\w.+-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]|\.[0-9])", _card),
     ("ssn", r"(?<![\w.-])[0-9]{3}(?P<s1>[- ])[0-9]{2}(?P=s1)[0-9]{4}(?![\w-]|\.[0-9])", _ssn),
@@ -244,9 +261,9 @@ def pseudonymise(
     out, found, at, search = [], [], 0, 0
     while (m := patterns[""].search(text, search)) is not None:
         first = next(k for k in _ORDER if m.group(k) is not None)
-        new = None
+        new, start = None, m.start("at") if first == "email" else m.start()
         for kind in _ORDER[_ORDER.index(first) :]:  # what isn't valid as one kind may be of another at the same place
-            value = m.group() if kind == first else (again := patterns[kind].match(text, m.start())) and again.group()
+            value = text[start : m.end()] if kind == first else (again := patterns[kind].match(text, start)) and again.group()
             if not value:
                 continue
             if (kind, value) not in known:
@@ -257,11 +274,11 @@ def pseudonymise(
             if new is not None:
                 break
         if new is None:
-            search = m.start() + 1
+            search = start + 1
             continue
-        out += [text[at : m.start()], new]
-        at = search = m.start() + len(value)
-        found.append((kind, m.start(), at))
+        out += [text[at:start], new]
+        at = search = start + len(value)
+        found.append((kind, start, at))
     return "".join([*out, text[at:]]), found
 
 
@@ -286,10 +303,12 @@ def pseudonyms(docs: DataFrame, key: bytes, text_col: str = "text", carry: Itera
     ``found``: kind and place (in characters of the text given) of each value.
     Texts without any stay as they are; a null text stays null.  ``back``
     reverses the pseudonyms.  Rows repeated in ``docs`` each give a row.
-    Nothing is shuffled.  ``suffix`` ends the names of the two columns.
+    Nothing is shuffled.  ``suffix`` ends the names of the two columns, which
+    give way to carried ones of their names by underscores.
     """
     carry = list(carry)
     out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     schema = extended(out, 1, "text string, found array<struct<kind:string,start:long,end:long>>")
     got = out.mapInArrow(lambda b: _replaced(b, key, back), schema)
-    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], F.col("text").alias(f"text{suffix}"), F.col("found").alias(f"found{suffix}"))
+    names = free(("text", "found"), carry, suffix)
+    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(c).alias(n) for c, n in zip(("text", "found"), names, strict=True)])
