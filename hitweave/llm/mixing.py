@@ -17,7 +17,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import written
+from ._base import free, written
 
 #: No source is repeated more often than this on average; a caller may bound it.
 MOST = math.inf
@@ -93,16 +93,18 @@ def mix(
     alpha: float = 0.5,
     size: float | None = None,
     most: float = MOST,
+    suffix: str = "",
 ) -> DataFrame:
     """The rows of ``docs``, each as often as drawn, with ``copy`` (from 1), ``rate`` and ``shuffle_key``, in a random order.
 
     The order within each partition is that of ``shuffle_key``, a hash of the
     seed, the id and the copy, by whose hash the rows are dealt to the
-    partitions.  Columns of ``docs`` that have one of these three names give way.
+    partitions.  ``suffix`` ends the three names, which give way to columns of
+    ``docs`` of their names by underscores.
     Null ids are drawn alike, like any that repeat; null texts have no bytes but
     are drawn as their source is.
     """
-    names = [c for c in docs.columns if c not in ("copy", "rate", "shuffle_key")]
+    names = docs.columns
     table = rates(docs, weights, source_col, text_col, alpha, size, most)
     # a row of a few numbers for each source: Spark broadcasts it if its file is small
     parts = F.greatest(F.ceil(F.col("rate") / PART), F.lit(1)).cast("long")
@@ -118,4 +120,5 @@ def mix(
     copies = copies.withColumn("copy", F.col("copy").cast("int"))
     key = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}/copy"), F.col("ident"), F.col("copy").cast("string"))), 1, 16)
     out = copies.select("row", "ident", "copy", F.col("_rate").alias("rate"), key.alias("shuffle_key")).repartition("shuffle_key").sortWithinPartitions("shuffle_key", "ident")
-    return out.select(*[F.col("row")[c].alias(c) for c in names], "copy", "rate", "shuffle_key")
+    own = ("copy", "rate", "shuffle_key")
+    return out.select(*[F.col("row")[c].alias(c) for c in names], *[F.col(c).alias(n) for c, n in zip(own, free(own, names, suffix), strict=True)])

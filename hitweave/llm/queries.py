@@ -141,19 +141,26 @@ ORACLE_SQL: dict[str, str] = {
     "op8_poisson_mixing": """
 WITH own AS (SELECT source, CAST(sum(coalesce(strlen(text), 0)) AS DOUBLE) AS bytes FROM documents GROUP BY source),
 rates AS (
-    SELECT source, CASE WHEN bytes > 0 THEN least(pow(bytes, 0.5) / (SELECT sum(pow(bytes, 0.5)) FROM own) * (SELECT sum(bytes) FROM own) / bytes, 16.0) ELSE 1.0 END AS rate
+    SELECT source, CASE WHEN bytes > 0 THEN pow(bytes, 0.5) / (SELECT sum(pow(bytes, 0.5)) FROM own) * (SELECT sum(bytes) FROM own) / bytes ELSE 1.0 END AS rate
     FROM own
 ),
-terms AS (SELECT source, rate, k, exp(k * ln(rate) - rate - lgamma(k + 1)) AS p FROM rates, range(0, 101) AS t(k)),
+means AS (SELECT source, rate, CAST(greatest(ceil(rate / 16.0), 1) AS BIGINT) AS parts, rate / greatest(ceil(rate / 16.0), 1) AS mean FROM rates),
+terms AS (SELECT source, rate, parts, k, exp(k * ln(mean) - mean - lgamma(k + 1)) AS p FROM means, range(0, 101) AS t(k)),
 tables AS (
-    SELECT source, rate, list(c ORDER BY k) AS cdf FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source, rate
+    SELECT source, rate, parts, list(c ORDER BY k) AS cdf FROM (SELECT *, sum(p) OVER (PARTITION BY source ORDER BY k) AS c FROM terms) GROUP BY source, rate, parts
 ),
+draws AS (
+    SELECT d.*, rate, cdf, coalesce(CAST(doc_id AS VARCHAR), '') AS ident, unnest(range(1, parts + 1)) AS part, parts
+    FROM (SELECT *, row_number() OVER () AS r FROM documents) AS d JOIN tables AS t ON d.source IS NOT DISTINCT FROM t.source
+),
+hashed AS (SELECT *, md5(CASE WHEN parts = 1 THEN '0:' || ident ELSE '0/part:' || ident || ':' || part END)[1:13] AS h FROM draws),
 drawn AS (
-    SELECT d.*, rate, len(list_filter(cdf, lambda c: c < 1.0 AND c <= CAST(CAST('0x' || md5('0:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:13] AS BIGINT) AS DOUBLE) / pow(2, 52))) AS n
-    FROM documents AS d JOIN tables AS t ON d.source IS NOT DISTINCT FROM t.source
+    SELECT doc_id, text, lang, source, n_chars, rate, ident,
+        sum(len(list_filter(cdf, lambda c: c < 1.0 AND c <= CAST(CAST('0x' || h AS BIGINT) AS DOUBLE) / pow(2, 52)))) AS n
+    FROM hashed GROUP BY r, doc_id, text, lang, source, n_chars, rate, ident
 )
-SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy, rate, md5('0/copy:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || k)[1:16] AS shuffle_key
-FROM drawn, unnest(range(1, n + 1)) AS t(k)
+SELECT doc_id, text, lang, source, n_chars, CAST(k AS INTEGER) AS copy, rate, md5('0/copy:' || ident || ':' || k)[1:16] AS shuffle_key
+FROM drawn, unnest(range(1, CAST(n AS BIGINT) + 1)) AS t(k)
 """,
     "op10_topk_impact_ordered": """
 WITH v AS (

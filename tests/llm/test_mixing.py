@@ -8,14 +8,20 @@ from hitweave.llm.queries import op8_poisson_mixing
 
 
 def draw(seed, ident, rate):
-    u = int(hashlib.md5(f"{seed}:{ident}".encode()).hexdigest()[:13], 16) / 2**52
-    p = c = math.exp(-rate)
-    n = 0
-    while c <= u and n < mixing.TERMS:
-        n += 1
-        p *= rate / n
-        c += p
-    return n
+    """A mean above 16 is the sum of draws of equal means up to it."""
+    parts = max(1, math.ceil(rate / 16))
+    total, rate = 0, rate / parts
+    for k in range(1, parts + 1):
+        given = f"{seed}:{ident}" if parts == 1 else f"{seed}/part:{ident}:{k}"
+        u = int(hashlib.md5(given.encode()).hexdigest()[:13], 16) / 2**52
+        p = c = math.exp(-rate)
+        n = 0
+        while c <= u and n < 100:
+            n += 1
+            p *= rate / n
+            c += p
+        total += n
+    return total
 
 
 def test_query(spark, sf_dir):
@@ -24,7 +30,7 @@ def test_query(spark, sf_dir):
     for d in docs:
         size[d.source] = size.get(d.source, 0) + len((d.text or "").encode())
     whole = sum(v**0.5 for v in size.values())
-    rate = {s: min(v**0.5 / whole * sum(size.values()) / v, 16.0) if v else 1.0 for s, v in size.items()}
+    rate = {s: v**0.5 / whole * sum(size.values()) / v if v else 1.0 for s, v in size.items()}
     rows = op8_poisson_mixing(spark, sf_dir).collect()
     got = {}
     for r in rows:
@@ -46,9 +52,10 @@ def test_edges(spark):
     rows = [(1, "a", "x", 9), (1, "a", "x", 9), (None, None, None, 9), (2, "b", "", 9), (3, None, "some", 9), (4, "c", "y" * 100_000, 9)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, copy int")
     out = mixing.mix(df, size=1e6)
-    assert out.columns == ["doc_id", "source", "text", "copy", "rate", "shuffle_key"]
+    assert out.columns == ["doc_id", "source", "text", "copy", "copy_", "rate", "shuffle_key"]
     got = out.collect()
-    assert all(r.copy >= 1 and r.rate <= mixing.MOST for r in got)
+    assert all(r.copy_ >= 1 and r.copy == 9 for r in got)
+    assert mixing.mix(df, suffix="_mix").columns[4:] == ["copy_mix", "rate_mix", "shuffle_key_mix"]
     assert sum(r.doc_id == 1 for r in got) % 2 == 0
     assert mixing.mix(df.limit(0)).count() == 0
     extra = df.withColumnRenamed("copy", "_own").selectExpr("*", "1 as _n", "2 as ident", "3 as row")
