@@ -52,6 +52,12 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def stored(df: DataFrame) -> int:
+    """The bytes of the files of a table made by ``written``."""
+    p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._hitweave_path)
+    return p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by ``written`` that nothing reads any more."""
     _delete(df.sparkSession, df._hitweave_path)
