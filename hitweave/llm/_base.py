@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import discard, written
+from ..storage import discard, stored, written
 
-__all__ = ["WORD_BYTES", "components", "discard", "extended", "free", "meet", "written"]
+__all__ = ["WORD_BYTES", "components", "discard", "extended", "free", "meet", "small", "written"]
 
 #: A key is hot if it has more rows than this, and more than one in ``SHARE`` of all: so there are at most ``SHARE`` such keys.
 HOT, SHARE = 1_000, 10_000
+#: Bytes of the files of a table that is broadcast, at most.
+SMALL = 4 << 20
 
 #: Lower-cases A-Z and turns what is in no word into spaces: ``text.translate(WORD_BYTES).split()``
 #: gives the words ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the lower-cased text.
@@ -42,6 +44,11 @@ def free(names: Iterable[str], taken: Iterable[str], suffix: str = "") -> list[s
     return out
 
 
+def small(table: DataFrame) -> bool:
+    """Whether a written table is small enough to be broadcast."""
+    return stored(table) <= SMALL
+
+
 def meet(rows: DataFrame, one: DataFrame, on: str | Sequence[str], how: str = "inner", hot: int = HOT) -> DataFrame:
     """``rows`` joined with ``one``, which has one row of bounded size for a key, in a way that no hot key lands in one task.
 

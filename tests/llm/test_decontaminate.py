@@ -28,15 +28,17 @@ def brute(doc, items, n=10):
     return len(w), len(hit), sorted(found)
 
 
-def test_random(spark):
+def test_random(spark, monkeypatch):
     rng = random.Random(2)
     vocabulary = ["a", "b", "é", "C3"]
     text = lambda k: " ".join(rng.choice(vocabulary) for _ in range(k))
     docs = [(n, text(rng.randint(0, 60))) for n in range(80)] + [(80, None), (81, ""), (82, "., ;"), (83, "x " * 50_000)]
     items = [(n, text(rng.randint(0, 14))) for n in range(30)] + [(7, "a b"), (None, "b b b b b"), (40, None), (41, ""), (42, "C3, é!")]
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    for n, block in ((10, 1 << 20), (4, 60)):  # the second: several blocks of items
-        got = {r.doc_id: r for r in decontaminate.contamination(d, b, n=n, block_bytes=block, carry=["doc_id"]).collect()}
+    for n, many, chunk in ((10, 256, 4 << 20), (4, 2, 4 << 20), (10, 256, 300), (3, 256, 4 << 20)):  # also: windows as texts, texts in pieces
+        monkeypatch.setattr(decontaminate, "MANY", many)
+        monkeypatch.setattr(decontaminate, "CHUNK", chunk)
+        got = {r.doc_id: r for r in decontaminate.contamination(d, b, n=n, carry=["doc_id"]).collect()}
         for i, t in docs:
             assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == brute(t, items, n), (n, i)
             spans = [(s.start, s.end) for s in got[i].spans]
@@ -54,6 +56,24 @@ def test_query(spark, sf_dir):
         assert x.items_sha256 == hashlib.sha256(",".join(found).encode()).hexdigest()
 
 
+def test_large_benchmark_and_copies(spark, monkeypatch):
+    """A full bitmap lets all through; a hot text and a table of hits that isn't broadcast."""
+    from hitweave.llm import _base
+
+    monkeypatch.setattr(decontaminate, "BITS", 1 << 15)
+    monkeypatch.setattr(_base, "SMALL", -1)
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    items = [(n, " ".join(word() for _ in range(40))) for n in range(3000)]
+    docs = [(n, " ".join([word(), word(), items[n % 500][1][10:120], word()])) for n in range(500)] + [(1000 + n, "copies " + items[7][1]) for n in range(1500)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {r.doc_id: r for r in decontaminate.contamination(d, b, carry=["doc_id"]).collect()}
+    assert len(got) == 2000
+    for i, t in docs[:500:25] + docs[500:502]:
+        assert (got[i].n_words, got[i].n_hit, got[i]["items"]) == brute(t, [items[i % 500], items[7]])
+    assert all(got[i].n_hit == 40 and got[i]["items"] == ["7"] for i in range(1000, 2500))
+
+
 def test_edges(spark):
     d = spark.createDataFrame([(1, "one two three", "keep", 5)] * 2, "doc_id long, text string, spans string, n_words int")
     b = spark.createDataFrame([(1, "two three")], "item_id long, text string")
@@ -63,3 +83,17 @@ def test_edges(spark):
     assert decontaminate.contamination(d.limit(0), b).count() == 0
     with pytest.raises(ValueError):
         decontaminate.contamination(d, b, n=1)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    """Pieces of a text overlap by so many words that no window is lost."""
+    rng = random.Random(6)
+    text = " ".join(rng.choice(("ab", "é", "C3", "d")) + rng.choice((",", "")) for _ in range(3000)).encode()
+    want = [w.encode() for w in words(text.decode())]
+    monkeypatch.setattr(decontaminate, "CHUNK", 50)
+    seen, last = set(), 0
+    for number, some in decontaminate._pieces(text, 9):
+        assert some == want[number : number + len(some)] and number <= last
+        seen.update(range(number, number + len(some) - 9))
+        last = number + len(some) - 9
+    assert seen == set(range(len(want) - 9))
