@@ -33,7 +33,7 @@ def op2_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = toxicity.scored(docs, model)
     return got.select(
         "doc_id", F.coalesce(_held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
-        F.size("offending").alias("n_offending"),
+        F.size("offending").alias("n_offending"), F.to_json("offending").alias("offending"),
     )
 
 

@@ -9,7 +9,9 @@ model tells which of them offend.
 A word weighs what its character n-grams (with its ends marked) weigh, so that
 forms that were never seen are known by their stems.  Only n-grams with which
 label 1 is significantly more frequent have a weight, by the likelihood ratio of
-their document counts.
+their document counts.  A sentence in which nothing has a weight has the probability
+zero, and in scoring so has one below ``LEAST``: weak hints don't add up, however
+many there are, so that a text's length alone decides nothing.
 """
 
 from __future__ import annotations
@@ -19,15 +21,20 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ._base import extended, written
+from ._base import extended, free, written
 
 #: Labelled documents of each class that the model is fitted on, at most.
 SAMPLE = 3000
+#: Bytes of their words at most, of each class: the first by hashed id that fit.  So much comes to the driver.
+SAMPLE_BYTES = 16 << 20
 #: Lengths of the n-grams, beside whole words; the likelihood ratio that they have at least.
 LENGTHS, RATIO = (3, 4, 5, 6), 20.0
 #: Buckets of the first count of n-grams.
 BUCKETS = 1 << 21
+#: Probability below which a sentence adds nothing to a document's score.
+LEAST = 0.05
 #: Steps of the fit and their size, and the penalty.
 STEPS, STEP, PENALTY = 150, 0.1, 1e-5
 #: Bytes of text that are scored at a time; words whose weight a task remembers.
@@ -65,13 +72,13 @@ class Model:
         return sum(sorted(w for g in grams(word, self.lengths) if (w := get(g)) is not None))
 
     def sentences(self, values):
-        """For words' weights, with nan at each sentence's end: the sentences' log-odds.  Those without words are at -inf."""
+        """For words' weights, with nan at each sentence's end: the sentences' log-odds.  Those without a word that has a weight are at -inf."""
         import numpy as np
 
         end = np.isnan(values)
         ends = np.flatnonzero(end)
         sums = np.concatenate([[0.0], np.cumsum(np.where(end, 0.0, values))])
-        counts = np.concatenate([[0], np.cumsum(~end)])
+        counts = np.concatenate([[0], np.cumsum(~end & (values != 0))])
         starts = np.concatenate([[0], ends[:-1] + 1])
         return np.where(counts[ends] > counts[starts], sums[ends] - sums[starts] + self.bias, -np.inf)
 
@@ -157,8 +164,8 @@ def fit(bags: Iterable[tuple[Sequence[bytes], int]], share: float | None = None,
     """Maximum likelihood of the labels of ``(words, label)`` bags under the noisy-or, with a small L2 penalty.
 
     ``share``: of label 1 among all labelled documents, where the bags hold the
-    classes in another proportion.  Without one of the classes, the model's
-    scores are 0 (no label 1) or near 1 for every sentence (no label 0).
+    classes in another proportion.  Without one of the classes nothing has a
+    weight, and all scores are 0.
     """
     import numpy as np
 
@@ -178,7 +185,7 @@ def fit(bags: Iterable[tuple[Sequence[bytes], int]], share: float | None = None,
         labels.append(label)
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
-        return Model({}, 20.0 if len(y) and y[0] else -750.0, tuple(lengths))
+        return Model({}, -750.0, tuple(lengths))
     del vocabulary[_BREAK]
     words, sents, docs = np.concatenate(words), np.concatenate(sents), np.concatenate(docs)
     names, who, what = _chosen(list(vocabulary), words, docs[sents], y, lengths, ratio)
@@ -186,6 +193,9 @@ def fit(bags: Iterable[tuple[Sequence[bytes], int]], share: float | None = None,
     weighs = np.zeros(len(vocabulary), bool)
     weighs[who] = True
     words, sents = words[weighs[words]], sents[weighs[words]]
+    # nor do sentences without any that does
+    some, sents = np.unique(sents, return_inverse=True)
+    docs, n = docs[some], len(some)
     share = y.mean() if share is None else min(max(share, 1e-6), 1 - 1e-6)
     cost = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean())) / len(y)
     theta = np.zeros(len(names) + 1)
@@ -213,7 +223,8 @@ def _bags(batches):
         texts = batch.column(0).cast(pa.binary())
         for row in range(batch.num_rows):  # a row at a time: texts may be very long
             words = b" ".join(_words(texts[row].as_py() or b""))
-            yield pa.RecordBatch.from_arrays([pa.array([words], pa.binary()), batch.column(1).slice(row, 1)], ["words", "label"])
+            columns = [pa.array([words], pa.binary()), pa.array([len(words)], pa.int64()), batch.column(1).slice(row, 1), batch.column(2).slice(row, 1)]
+            yield pa.RecordBatch.from_arrays(columns, ["words", "size", "label", "id"])
 
 
 def train(
@@ -224,7 +235,7 @@ def train(
     label_col: str = "toxic",
     sample: int = SAMPLE,
 ) -> Model:
-    """A model fitted on at most ``sample`` documents of each label, those with the smallest hashed ids.
+    """A model fitted on at most ``sample`` documents of each label, those with the smallest hashed ids, and ``SAMPLE_BYTES`` of their words.
 
     ``labels(id_col, label_col)`` marks some of ``docs``; rows without an id or a
     label of 0 or 1 are left out, and of several labels the largest counts.
@@ -241,11 +252,19 @@ def train(
     # at most twice the sample: broadcast, so that the documents aren't shuffled
     picked = F.broadcast(some[0].unionByName(some[1]))
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    rows = texts.join(picked, "id").select("text", "label").mapInArrow(_bags, "words binary, label int")
+    rows = texts.join(picked, "id").select("text", "label", "id").mapInArrow(_bags, "words binary, size long, label int, id long")
     share = count.get(1, 0) / max(1, sum(count.values()))
     # the sample is cut out by all tasks at once; its documents come one by one, each a string of bytes, of which the fit keeps numbers
     rows = written(rows, "labelled")
-    return fit(((bytes(r.words).split(), r.label) for r in rows.toLocalIterator()), share)
+    sizes = rows.select("label", "size", "id", order.alias("place")).orderBy("label", "place", "id", "size").select("label", "size").collect()  # numbers of at most twice the sample
+    left, last = {0: SAMPLE_BYTES, 1: SAMPLE_BYTES}, {0: 0, 1: 0}
+    for r in sizes:
+        left[r.label] -= r.size
+        last[r.label] += left[r.label] >= 0
+    first = Window.partitionBy("label").orderBy("place", "id", "size", "words")
+    ranked = rows.withColumn("place", order).withColumn("rank", F.row_number().over(first))
+    few = ranked.where(F.col("rank") <= F.when(F.col("label") == 1, last[1]).otherwise(last[0])).orderBy("label", "rank").select("words", "label")
+    return fit(((bytes(r.words).split(), r.label) for r in few.toLocalIterator()), share)
 
 
 def _scored(batches, model, threshold):
@@ -272,7 +291,7 @@ def _scored(batches, model, threshold):
             z = model.sentences(np.concatenate(parts))
             ends = np.array(ends)
             starts = np.concatenate([[0], ends[:-1]])
-            scores[first:at] = -np.expm1(-np.add.reduceat(np.logaddexp(0, z), starts))
+            scores[first:at] = -np.expm1(-np.add.reduceat(np.where(z >= np.log(LEAST / (1 - LEAST)), np.logaddexp(0, z), 0.0), starts))
             counts[first:at] = np.add.reduceat((z > -np.inf).astype(np.int64), starts)
             bad = np.flatnonzero(z >= 0)
             for doc in np.unique(np.searchsorted(ends, bad, "right")):
@@ -292,15 +311,17 @@ def _scored(batches, model, threshold):
 def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterable[str] = ("doc_id",), suffix: str = "") -> DataFrame:
     """``(*carry, score, n_sentences, offending)`` for every row of ``docs``.
 
-    ``score``: the noisy-or of all sentences of the whole text, 0 for null, empty
+    ``score``: the noisy-or of all sentences of the whole text with a probability of ``LEAST`` or more, 0 for null, empty
     and wordless texts; ``offending``: byte ranges and probabilities of the
     sentences at 0.5 or more.  Rows repeated in ``docs`` each give a row.
-    ``suffix`` ends the names of the three columns, where ``carry`` has the like.
+    ``suffix`` ends the names of the three columns, which give way to carried ones
+    of their names by underscores.
     """
     carry = list(carry)
     out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
     sent = docs.sparkSession.sparkContext.broadcast(model)
     schema = extended(out, 1, "score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
     got = out.mapInArrow(lambda b: _scored(b, sent, 0.5), schema)
-    own = [F.col(c).alias(c + suffix) for c in ("score", "n_sentences", "offending")]
+    names = ("score", "n_sentences", "offending")
+    own = [F.col(c).alias(n) for c, n in zip(names, free(names, carry, suffix), strict=True)]
     return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *own)

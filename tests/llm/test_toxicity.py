@@ -22,12 +22,16 @@ def brute(text, model):
             sentence.append(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 or c == 39 else 32)
     for words in out:
         if words:
-            z = model.bias
+            z, told = model.bias, False
             for w in words:
                 marked = b"^" + w + b"$"
                 parts = {marked} | {marked[i:j] for i in range(len(marked)) for j in range(i + 3, min(i + 6, len(marked)) + 1)}
+                told = told or any(p in model.weights for p in parts)
                 z += sum(model.weights.get(p, 0.0) for p in parts)
-            keep *= 1 - 1 / (1 + math.exp(-max(-700, min(700, z))))
+            if not told:
+                continue
+            p = 1 / (1 + math.exp(-max(-700, min(700, z))))
+            keep *= 1 - p if p >= 0.05 else 1
     return 1 - keep
 
 
@@ -56,6 +60,36 @@ def test_held_out_accuracy(spark):
     assert sum(s >= 0.5 for s in toxic) >= 0.8 * len(toxic) and sum(s >= 0.5 for s in clean) <= 0.01 * len(clean)
 
 
+def test_length_does_not_decide(spark):
+    """Very long clean texts, of whole clean documents one after the other, stay clean; a toxic one among them is found."""
+    docs, labels = spark.read.parquet(f"{BIG}/documents.parquet"), spark.read.parquet(f"{BIG}/labels.parquet")
+    fold = "crc32(cast(cast(doc_id as string) as binary)) % 5"
+    model = toxicity.train(docs, labels.where(f"{fold} <> 0"))
+    known = docs.join(labels, "doc_id").where(f"{fold} = 0").select("text", "toxic").collect()
+    clean, toxic = [r.text for r in known if r.toxic == 0 and r.text], [r.text for r in known if r.toxic == 1 and r.text]
+    single = toxicity.scored(spark.createDataFrame(list(enumerate(clean)), "doc_id long, text string"), model).collect()
+    quiet = [clean[r.doc_id] for r in single if r.score < 0.05]
+    assert len(quiet) > 0.98 * len(clean)
+    long = [" . ".join(quiet[n::8]) for n in range(8)]
+    rows = [(n, t) for n, t in enumerate(long)] + [(100 + n, " . ".join(quiet[:20] + [t] + quiet[20:40])) for n, t in enumerate(toxic[:40])]
+    rows.append((99, (quiet[0] + " . ") * (1_000_000 // len(quiet[0]))))
+    got = {r.doc_id: r.score for r in toxicity.scored(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    assert got[99] < 0.05 and all(got[n] < 0.05 for n in range(8))
+    assert sum(v >= 0.5 for k, v in got.items() if k >= 100) >= 0.8 * min(40, len(toxic))
+
+
+def test_sample_by_bytes(spark, monkeypatch):
+    df = spark.createDataFrame([(n, f"word{n} foul scum. " * (50 if n % 2 else 5)) for n in range(40)], "doc_id long, text string")
+    labels = spark.createDataFrame([(n, n % 2) for n in range(40)], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda bags, share: seen.append(list(bags)))
+    toxicity.train(df, labels)
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 3000)
+    toxicity.train(df, labels)
+    assert len(seen[0]) == 40 and 20 < len(seen[1]) < 40
+    assert all(sum(len(b" ".join(w)) for w, y in seen[1] if y == label) <= 3000 for label in (0, 1))
+
+
 def test_held_out_labels_and_other_columns_do_not_matter(spark, sf_dir, model):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     other = toxicity.train(docs.selectExpr("doc_id", "text", "'x' as lang", "'y' as source"), labels.where("crc32(cast(cast(doc_id as string) as binary)) % 5 <> 0"))
@@ -74,7 +108,7 @@ def test_finds_the_offending_sentence(spark):
 
 
 def test_one_class_only():
-    assert toxicity.fit([]).bias < -700 and toxicity.fit([([b"a", b"b"], 0)]).bias < -700 and toxicity.fit([([b"a", b"b"], 1)]).bias > 0
+    assert toxicity.fit([]).bias < -700 and toxicity.fit([([b"a", b"b"], 0)]).bias < -700 and toxicity.fit([([b"a", b"b"], 1)]).weights == {}
 
 
 def test_edges(spark, model):
