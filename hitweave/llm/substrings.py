@@ -8,15 +8,21 @@ occurrences agree to the left and to the right of it.
 
 1. Each partition hashes its texts (polynomial prefix hashes) and picks the
    anchors.  Of occurrences with equal context (all bytes of any window that the
-   anchor serves) all but the first of some megabytes are repeats and go no further.
+   anchor serves) all but the first of some megabytes are repeats and go no further,
+   nor do those of contexts that the task has seen often.  Here bytes are compared.
 2. The rest is shuffled by anchor and sorted by context; all but the first
-   occurrence of a context are repeats.  Anchors with several contexts go on.
+   occurrence of a context are repeats.  The texts aren't at hand here: contexts of
+   one anchor are the same if their hashes of 64 bits are.  Anchors with several
+   contexts go on.
 3. Their contexts are read from the texts, shuffled by anchor, and sorted twice
    in each bucket: what follows the anchor as suffixes, what precedes it as
    reversed prefixes.  The mergesort compares two suffixes by binary search for
    their common extension over prefix hashes; the common extensions of
    neighbours are verified on the bytes.  Windows at offset ``a`` are equal
    where the left extension is at least ``a`` and the right one the rest.
+   A bucket of more than ``BUCKET_ROWS`` is split: its offsets into ranges, and the
+   occurrences in each by the bytes that all windows of the range hold.  At a single
+   offset these are the window itself, and its copies need no sort.
 4. Repeats become byte ranges of their documents, joined with the texts.
 """
 
@@ -27,14 +33,14 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import extended, written
+from ._base import extended, free, meet, written
 
 #: Bytes of text that are hashed at a time (or one text).
 CHUNK = 2 << 20
-#: Contexts that are sorted at a time.  A bucket of more goes another way: see ``_windows``.
-BUCKET_ROWS = 20_000
-#: Heavy anchors that are broadcast at most; more are joined by a shuffle.
-HEAVY = 100_000
+#: Contexts that are sorted at a time.  A bucket of more is split, its offsets into so many ranges at once.
+BUCKET_ROWS, WAYS = 20_000, 4
+#: Frequent contexts that a task remembers.
+FREQUENT = 10_000
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -102,18 +108,27 @@ def _anchors(data, bounds, length, k, powers):
         return text, place, first, last, grams[place], context
 
 
-def _chunks(texts):
-    """Texts by some megabytes: (first row, bytes, bounds)."""
+def _chunks(texts, length):
+    """Texts by some megabytes: (rows, offsets, bytes, bounds) of whole texts or, of longer ones, pieces that overlap by all but a byte of ``length``."""
     import numpy as np
 
-    at = 0
-    while at < len(texts):
-        first, parts, read = at, [], 0
-        while at < len(texts) and read < CHUNK:
-            parts.append(texts[at].as_py() or b"")
-            read += len(parts[-1])
-            at += 1
-        yield first, np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+    def pieces():
+        for row in range(len(texts)):
+            text = texts[row].as_py() or b""
+            for at in range(0, max(1, len(text) - length + 1), CHUNK):
+                yield row, at, text[at : at + CHUNK + length - 1]
+
+    rows, offsets, parts, read = [], [], [], 0
+    for row, at, part in pieces():
+        rows.append(row)
+        offsets.append(at)
+        parts.append(part)
+        read += len(part)
+        if read >= CHUNK:
+            yield np.array(rows), np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+            rows, offsets, parts, read = [], [], [], 0
+    if rows:
+        yield np.array(rows), np.array(offsets), np.frombuffer(b"".join(parts), np.uint8), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
 
 
 class _Powers:
@@ -132,29 +147,82 @@ class _Powers:
 _ROWS = "anchor long, context long, id long, row long, place int, first int, last int"
 
 
+def _same_bytes(data, a, b, sizes):
+    """Whether data[a:a + size] equals data[b:b + size], for each."""
+    import numpy as np
+
+    out = np.ones(len(a), bool)
+    at = 0
+    ends = np.cumsum(sizes)
+    while at < len(a):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 20), "right")))
+        n = sizes[at:end]
+        step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        differ = data[np.repeat(a[at:end], n) + step] != data[np.repeat(b[at:end], n) + step]
+        out[at:end] = ~np.logical_or.reduceat(differ, np.cumsum(n) - n)
+        at = end
+    return out
+
+
+class _Frequent:
+    """First occurrences of contexts that a task has met more than once, so that of a passage that all texts share one row a task goes on."""
+
+    def __init__(self):
+        self.known = {}
+
+    def __call__(self, grams, context, id_, place, slices, often):
+        """Which rows repeat what is known, later in the order of documents; learns from rows that are ``often``."""
+        import numpy as np
+
+        repeat = np.zeros(len(grams), bool)
+        if self.known:
+            keys = np.array(list(self.known), np.uint64)
+            for n in np.flatnonzero(np.isin(context, keys)).tolist():
+                gram, head, where, text = self.known[int(context[n])]
+                if gram == int(grams[n]) and text == slices(n):
+                    here = (int(id_[n]), int(place[n]))
+                    if (head, where) < here:
+                        repeat[n] = True
+                    else:
+                        self.known[int(context[n])] = (gram, *here, text)
+        for n in np.flatnonzero(often & ~repeat).tolist():
+            if len(self.known) >= FREQUENT:
+                break
+            self.known.setdefault(int(context[n]), (int(grams[n]), int(id_[n]), int(place[n]), slices(n)))
+        return repeat
+
+
 def _listed(batches, length, k):
-    """Rows of ``_ROWS`` for (id, row, text); repeats within a chunk have a null anchor."""
+    """Rows of ``_ROWS`` for (id, row, text); repeats of what the task has seen have a null anchor."""
     import numpy as np
     import pyarrow as pa
 
-    powers = _Powers()
+    powers, frequent = _Powers(), _Frequent()
     for batch in batches:
         ids, rows = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        for at, data, bounds in _chunks(batch.column(2).cast(pa.binary())):
+        for numbers, offsets, data, bounds in _chunks(batch.column(2).cast(pa.binary()), length):
             text, place, first, last, grams, context = _anchors(data, bounds, length, k, powers(len(data)))
             if not len(text):
                 continue
-            base = bounds[text]
-            id_, row = ids[at + text], rows[at + text]
+            start, size = first, last + length - first
+            base = bounds[text] - offsets[text]
+            id_, row = ids[numbers[text]], rows[numbers[text]]
             place, first, last = place - base, first - base, last - base
             order = np.lexsort((place, id_, context, grams))
             same = np.concatenate([[False], (grams[order][1:] == grams[order][:-1]) & (context[order][1:] == context[order][:-1])])
             # a repeat starts later in the order of documents than the first of its run; equal starts (repeated rows) are none
             run = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
             later = same & ((id_[order] != id_[order][run]) | (place[order] != place[order][run]))
-            repeat = np.zeros(len(order), bool)
-            repeat[order] = later
+            at = np.flatnonzero(later)
+            mine, theirs = order[at], order[run[at]]
+            fits = size[mine] == size[theirs]
+            fits[fits] = _same_bytes(data, start[mine[fits]], start[theirs[fits]], size[mine[fits]])
+            repeat, often = np.zeros(len(order), bool), np.zeros(len(order), bool)
+            repeat[mine[fits]] = True
+            often[theirs[fits]] = True
             out = [grams.view(np.int64), context.view(np.int64), id_, row, place.astype(np.int32), first.astype(np.int32), last.astype(np.int32)]
+            keep = np.flatnonzero(~repeat)
+            repeat[keep] = frequent(grams[keep], context[keep], id_[keep], place[keep], lambda n: data[start[keep[n]] : start[keep[n]] + size[keep[n]]].tobytes(), often[keep])
             keep = ~repeat
             arrays = [pa.array(x[keep]) for x in out]
             yield pa.RecordBatch.from_arrays(arrays, _names())
@@ -268,29 +336,6 @@ def _fragments(batches):
                 out = [[] for _ in range(8)]
 
 
-def _windows(batches):
-    """Each window of the wanted anchors by a 128-bit hash: for anchors with too many contexts to be sorted in one task."""
-    import numpy as np
-    import pyarrow as pa
-    import xxhash
-
-    digest = xxhash.xxh3_128_digest
-    for batch in batches:
-        texts = batch.column(2).cast(pa.binary())
-        ids, rows, wanted = batch.column(0), batch.column(1), batch.column(3)
-        for n in range(batch.num_rows):
-            text = texts[n].as_py() or b""
-            starts = [(s, x["length"]) for x in wanted[n].as_py() for s in range(x["first"], x["last"] + 1)]
-            if not starts:
-                continue
-            keys = np.frombuffer(b"".join(digest(text[s : s + size]) for s, size in starts), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy()), pa.array([ids[n].as_py()] * len(starts), pa.int64()),
-                 pa.array([rows[n].as_py()] * len(starts), pa.int64()), pa.array([s for s, _ in starts], pa.int32())],
-                ["h1", "h2", "id", "row", "start"],
-            )
-
-
 class _Suffixes:
     """Strings as a matrix of bytes with prefix hashes: their common extensions and their order."""
 
@@ -372,13 +417,28 @@ class _Suffixes:
         same = np.flatnonzero(group[order][1:] == group[order][:-1]) + 1 if len(order) else np.zeros(0, np.int64)
         a, b = order[same - 1], order[same]
         lcp[same] = self.common(a, b)
-        # hashes may collide: what they call equal must be equal byte by byte
+        # hashes may collide: neighbours must agree byte by byte as far as they say, and stand in order
         for at in range(0, len(same), 1 << 16):
             cut = slice(at, at + (1 << 16))
-            differ = self.bytes[a[cut]] != self.bytes[b[cut]]
+            x, y, n = a[cut], b[cut], lcp[same[cut]]
+            differ = self.bytes[x] != self.bytes[y]
             first = np.where(differ.any(axis=1), differ.argmax(axis=1), differ.shape[1])
-            if (first < lcp[same[cut]]).any():
-                raise ArithmeticError("prefix hashes collide; choose another base")
+            ordered = np.where(n >= self.sizes[x], True, (n < self.sizes[y]) & (self.bytes[x, n] < self.bytes[y, n]))
+            if (first < n).any() or not ordered.all():
+                return self._exactly(group)
+        return order, lcp
+
+    def _exactly(self, group):
+        """The same without hashes, where they collide."""
+        import numpy as np
+
+        strings = [self.bytes[i, :n].tobytes() for i, n in enumerate(self.sizes.tolist())]
+        order = np.array(sorted(range(len(strings)), key=lambda i: (group[i], strings[i], i)), np.int64)
+        lcp = np.full(len(order), -1, np.int64)
+        for n, (i, j) in enumerate(zip(order[:-1].tolist(), order[1:].tolist()), 1):
+            if group[i] == group[j]:
+                x, y = strings[i], strings[j]
+                lcp[n] = next((m for m, (p, q) in enumerate(zip(x, y)) if p != q), min(len(x), len(y)))
         return order, lcp
 
 
@@ -485,9 +545,47 @@ def _kept(batches, length):
         )
 
 
+_RANGES = "id long, row long, first int, last int"
+
+
+def _split(fragments: DataFrame, length: int, high: int, rows: int, solved) -> Iterable[DataFrame]:
+    """Ranges of repeated windows of the fragments of buckets that are too large, windows at offsets 0 to ``high``.
+
+    All windows at offsets from ``low`` to ``high`` hold ``low`` bytes before the anchor
+    and ``length - high`` from it on, so equal ones meet in a bucket by these bytes.
+    """
+    levels = [(fragments, 0, high)]
+    while levels:
+        here, low, high = levels.pop()
+        step = -(-(high - low + 1) // WAYS)
+        for a, b in ((a, min(high, a + step - 1)) for a in range(low, high + 1, step)):
+            mine = here.where((F.col("place") - F.col("last") <= b) & (F.col("place") - F.col("first") >= a)).select(
+                "anchor", "id", "row", "place", F.greatest("first", F.col("place") - b).alias("first"), F.least("last", F.col("place") - a).alias("last"), "left", "right"
+            )
+            mine = mine.select(
+                "anchor", "id", "row", "place", "first", "last",
+                F.expr("substring(left, length(left) - (place - first) + 1, place - first)").alias("left"), F.expr(f"substring(right, 1, last + {length} - place)").alias("right"),
+            )
+            shared = [F.expr(f"substring(left, length(left) - {a} + 1, {a})"), F.expr(f"substring(right, 1, {length - b})")]
+            mine = written(mine.withColumn("anchor", F.xxhash64("anchor", F.lit(a), *shared)), "split")
+            large = written(mine.groupBy("anchor").count().where(F.col("count") > rows).select("anchor"), "heavy")
+            if not large.limit(1).count():
+                yield solved(mine)
+                continue
+            yield solved(mine.join(large, "anchor", "left_anti"))
+            rest = mine.join(large, "anchor", "left_semi")
+            if a < b:
+                levels.append((written(rest, "fragments"), a, b))
+                continue
+            windows = written(rest.select("id", "row", (F.col("place") - a).alias("first"), F.concat("left", "right").alias("window")), "windows")
+            least = windows.groupBy("window").agg(F.min(F.struct("id", "first")).alias("least"))
+            later = meet(windows, least, "window").where(F.struct("id", "first") > F.col("least"))
+            yield later.select("id", "row", "first", F.col("first").alias("last"))
+
+
 def repeated_substrings(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, k: int | None = None, rows: int = BUCKET_ROWS,
-    carry: Iterable[str] = ("doc_id",),
+    carry: Iterable[str] = ("doc_id",), suffix: str = "",
 ) -> DataFrame:
     """``(*carry, n_bytes, removed, kept_sha256)`` for every row of ``docs``.
 
@@ -496,7 +594,9 @@ def repeated_substrings(
     same id at a smaller place.  A null or empty text has no bytes; rows with a
     null id come last and are one document; rows that repeat an id are one
     document too, in which equal places aren't earlier, so that a row repeated
-    as a whole loses nothing to itself.  ``k``: bytes of an anchor.
+    as a whole loses nothing to itself.  ``k``: bytes of an anchor; ``rows``: of a
+    bucket that is sorted at once.  ``suffix`` ends the names of the three columns,
+    which give way to carried ones of their names by underscores.
     """
     k = k or max(1, length // 2)
     if not 0 < k <= length:
@@ -517,8 +617,7 @@ def repeated_substrings(
     ranges = sifted.where("anchor is null").select("id", "row", "first", "last")
     several = sifted.where("anchor is not null").select("anchor", "id", "row", "place", "first", "last")
     heavy = written(several.groupBy("anchor").count().where(F.col("count") > rows).select("anchor"), "heavy")
-    n = heavy.count()
-    few = F.broadcast(heavy) if n <= HEAVY else heavy
+    some = heavy.limit(1).count() > 0
 
     def wanted(anchors: DataFrame) -> DataFrame:
         """The texts with their wanted anchors; with all columns, so that one shuffle of the texts serves all uses."""
@@ -527,23 +626,16 @@ def repeated_substrings(
             "id", "row", "text", "wanted", *[f"_c{i}" for i in range(len(carry))]
         )
 
-    ranges = ranges.unionByName(
-        wanted(several.join(few, "anchor", "left_anti") if n else several)
-        .mapInArrow(_fragments, _FRAGMENTS)
-        .repartition("anchor")
-        .sortWithinPartitions("anchor", "id", "place")
-        .mapInArrow(lambda b: _repeats(b, length, rows), "id long, row long, first int, last int")
-    )
-    if n:
-        windows = written(wanted(several.join(few, "anchor", "left_semi")).mapInArrow(_windows, "h1 long, h2 long, id long, row long, start int"), "windows")
-        least = windows.groupBy("h1", "h2").agg(F.min(F.struct("id", "start")).alias("least"))
-        ranges = ranges.unionByName(
-            windows.join(least, ["h1", "h2"])
-            .where(F.struct("id", "start") > F.col("least"))
-            .select("id", "row", F.col("start").alias("first"), F.col("start").alias("last"))
-        )
+    def solved(fragments: DataFrame) -> DataFrame:
+        return fragments.repartition("anchor").sortWithinPartitions("anchor", "id", "place").mapInArrow(lambda b: _repeats(b, length, rows), _RANGES)
+
+    ranges = ranges.unionByName(solved(wanted(several.join(heavy, "anchor", "left_anti") if some else several).mapInArrow(_fragments, _FRAGMENTS)))
+    if some:
+        for part in _split(written(wanted(several.join(heavy, "anchor", "left_semi")).mapInArrow(_fragments, _FRAGMENTS), "fragments"), length, length - k, rows, solved):
+            ranges = ranges.unionByName(part)
     found = ranges.groupBy("id", "row").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))
     out = texts.join(found, ["id", "row"], "left").select("text", "ranges", *[f"_c{i}" for i in range(len(carry))])
     schema = extended(out, 2, "n_bytes long, removed array<struct<start:long,end:long>>, kept_sha256 string")
     got = out.mapInArrow(lambda b: _kept(b, length), schema)
-    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_bytes", "removed", "kept_sha256")
+    own = ("n_bytes", "removed", "kept_sha256")
+    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(c).alias(n) for c, n in zip(own, free(own, carry, suffix), strict=True)])

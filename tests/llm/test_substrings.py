@@ -82,9 +82,56 @@ def test_very_long_text(spark):
     assert got[0][1] == 50_000 and got[1][1] == 150
 
 
+def test_a_passage_in_very_many_surroundings(spark):
+    """One anchor in 3,000 contexts, split until the buckets are small or one window's copies."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    core, rows = word(12), []
+    for n in range(3000):
+        left, right = rng.choice([word(14), "stem of a left"]), rng.choice([word(14), "right hand end"])
+        rows.append((n, left + core + right))
+    assert run(spark, rows, length=20, rows=100) == brute(rows, 20)
+
+
+def test_hashes_that_collide_are_not_trusted(monkeypatch):
+    import numpy as np
+
+    rng = random.Random(1)
+    strings = [bytes(rng.choice(b"ab") for _ in range(rng.randint(0, 12))) for _ in range(200)]
+    group = np.sort(np.array([rng.randrange(5) for _ in strings]))
+    right = substrings._Suffixes(strings).classes(group)
+    monkeypatch.setattr(substrings._Suffixes, "common", lambda self, a, b: np.minimum(self.sizes[a], self.sizes[b]))
+    wrong = substrings._Suffixes(strings).classes(group)
+    assert [(group[i], strings[i]) for i in right[0]] == [(group[i], strings[i]) for i in wrong[0]] and right[1].tolist() == wrong[1].tolist()
+    # contexts of equal hashes but other bytes aren't repeats
+    import pyarrow as pa
+
+    monkeypatch.setattr(substrings, "_anchors", lambda data, bounds, length, k, powers: (np.array([0, 1, 2]), np.array([2, 22, 42]), np.array([0, 20, 40]), np.array([0, 20, 40]), np.full(3, 5, np.uint64), np.full(3, 7, np.uint64)))
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3]), pa.array([1, 2, 3]), pa.array(["a" * 20, "b" * 20, "a" * 20])], ["id", "row", "text"])
+    got = [r for b in substrings._listed([batch], 20, 10) for r in b.to_pylist()]
+    assert sorted((r["id"], r["anchor"]) for r in got if r["anchor"] is not None) == [(1, 5), (2, 5)]
+
+
+def test_long_texts_are_cut(monkeypatch):
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    text = bytes(rng.choice(b"abc") for _ in range(5000))
+    monkeypatch.setattr(substrings, "CHUNK", 700)
+    seen = {}
+    for rows, offsets, data, bounds in substrings._chunks(pa.array([b"", text, b"xyz"]), 20):
+        for row, offset, s, e in zip(rows, offsets, bounds, bounds[1:]):
+            part = data[s:e].tobytes()
+            assert part == (b"", text, b"xyz")[row][offset : offset + e - s]
+            for at in range(len(part) - 19):
+                seen[row, offset + at] = seen.get((row, offset + at), 0) + 1
+    assert seen == {(1, n): 1 for n in range(4981)}
+
+
 def test_clashing_columns_and_empty_table(spark):
     df = spark.createDataFrame([(1, "x" * 30, 5, "r")], "doc_id long, text string, anchor int, row string")
     assert substrings.repeated_substrings(df, length=10, carry=["doc_id", "anchor", "row"]).collect()[0]["row"] == "r"
+    assert substrings.repeated_substrings(df.withColumnRenamed("row", "removed"), length=10, carry=["removed"]).columns == ["removed", "n_bytes", "removed_", "kept_sha256"]
     assert substrings.repeated_substrings(df.limit(0), length=10).count() == 0
     with pytest.raises(ValueError):
         substrings.repeated_substrings(df, length=10, k=11)
