@@ -49,15 +49,16 @@ def small(table: DataFrame) -> bool:
     return stored(table) <= SMALL
 
 
-def meet(rows: DataFrame, one: DataFrame, on: str | Sequence[str], how: str = "inner", hot: int = HOT) -> DataFrame:
+def meet(rows: DataFrame, one: DataFrame, on: str | Sequence[str], how: str = "inner", counts: DataFrame | None = None) -> DataFrame:
     """``rows`` joined with ``one``, which has one row of bounded size for a key, in a way that no hot key lands in one task.
 
     The rows of hot keys (at most ``SHARE`` keys, found by a count that is combined
     before its shuffle) stay where they are and meet a broadcast of their rows of
-    ``one``; all others go by a shuffled join.  ``rows`` is read again: a written table.
+    ``one``; all others go by a shuffled join.  ``rows`` is read again: a written
+    table.  ``counts``: such a table of the keys' ``count``, where there is one.
     """
     on = [on] if isinstance(on, str) else list(on)
-    counts = written(rows.groupBy(*on).count().where(F.col("count") > hot), "counts")
+    counts = written(rows.groupBy(*on).count().where(F.col("count") > HOT), "counts") if counts is None else counts.where(F.col("count") > HOT)
     total = rows.count() if counts.limit(1).count() else 0
     keys = counts.where(F.col("count") > total // SHARE).select(*on)
     if not total or not keys.limit(1).count():
@@ -73,7 +74,7 @@ def components(edges: DataFrame) -> DataFrame:
     Returns ``(node, root)`` for every node with an edge to another, root being the
     smallest node reachable.  Alternates large-star and small-star steps until the
     edge set is a forest of stars; each step aggregates before it shuffles and
-    joins the minimum back, so a hub is split by the adaptive skew join.
+    joins the minimum back, hubs by ``meet``.
     """
     now = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
@@ -81,19 +82,20 @@ def components(edges: DataFrame) -> DataFrame:
     seen = _signature(now)
     while True:
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (
-            large.join(low, "a")
+        low = written(both.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("count")).withColumn("m", F.least("a", "m")), "least")
+        large = meet(both, low.drop("count"), "a", counts=low).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        own = large.groupBy("a").agg(F.min("b").alias("m"))
+        stars = (
+            large.join(own, "a")
             .select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e"))
             .select("e.a", "e.b")
             .where("a <> b")
             .distinct()
         )
-        after = written(small, "edges")
+        after = written(stars, "edges")
         sign = _signature(after)
         discard(now)
+        discard(low)
         now = after
         if sign == seen:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(

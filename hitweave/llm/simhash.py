@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ._base import components, extended, written
+from ._base import components, extended, meet, written
 
 #: Triples of the six blocks; see the module's text.
 TRIPLES = ((0, 1, 2), (0, 1, 3), (0, 4, 5), (1, 4, 5), (2, 3, 4), (2, 3, 5))
@@ -227,7 +227,7 @@ def near_duplicates(
     Other columns of ``docs`` don't matter.
     """
     marks, owner = _classes(docs, id_col, text_col, shingle, threshold, homes)
-    return marks.join(owner, "fp").select("id", "fp", "component")
+    return meet(marks, written(owner, "classes"), "fp").select("id", "fp", "component")
 
 
 def _classes(docs, id_col, text_col, shingle, threshold, homes) -> tuple[DataFrame, DataFrame]:
@@ -235,9 +235,9 @@ def _classes(docs, id_col, text_col, shingle, threshold, homes) -> tuple[DataFra
     marks = written(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
     least = written(marks.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     joined = components(links(least, threshold, homes)).withColumnRenamed("node", "fp")
-    roots = least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = written(least.join(joined, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "roots")
     smallest = roots.groupBy("root").agg(F.min("least").alias("component"))
-    return marks, roots.join(smallest, "root").select("fp", "root", "component")
+    return marks, meet(roots, smallest, "root").select("fp", "root", "component")
 
 
 def without_near_duplicates(
@@ -259,7 +259,7 @@ def survivors(docs: DataFrame, marks: DataFrame, owner: DataFrame, mark: Callabl
     """
     owner = written(owner, "classes")
     again = written(marks.where("id is not null").groupBy("id").count().where("count > 1").select("id"), "repeated")
-    gone = written(marks.join(owner, "fp").where("id <> component").select("id").distinct(), "duplicates")
+    gone = written(meet(marks, owner, "fp").where("id <> component").select("id").distinct(), "duplicates")
     number = docs[id_col].cast("long")
 
     def having(some: DataFrame, how: str, rows: DataFrame = docs) -> DataFrame:

@@ -9,7 +9,6 @@ from hitweave.llm import pii, queries
 
 from .test_decontaminate import brute as windows
 from .test_mixing import draw
-from .test_simhash import brute_classes, brute_fingerprint
 
 
 @pytest.fixture(scope="module")
@@ -41,10 +40,25 @@ def test_toxic_documents_go(stages, spark, sf_dir):
 
 
 def test_one_of_each_class_stays(stages):
+    """Classes of texts that share 0.8 or more of their five-word shingles, by all pairs."""
     before, after = map(rows, stages["near_duplicates"])
-    pairs = [(i, brute_fingerprint(r.text)) for i, r in before.items()]
-    classes = brute_classes(pairs)
-    assert set(after) == set(classes.values()) and all(after[i] == before[i] for i in after)
+    sets, parent = {}, {i: i for i in before}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i, r in sorted(before.items()):
+        words = (r.text or "").encode().lower().split()
+        mine = frozenset(tuple(words[n : n + 5]) for n in range(max(1, len(words) - 4))) if words else frozenset()
+        for j, theirs in sets.items():
+            both = len(mine & theirs)
+            if mine == theirs or both * 5 >= (len(mine) + len(theirs) - both) * 4 > 0:
+                a, b = sorted((root(i), root(j)))
+                parent[b] = a
+        sets[i] = mine
+    assert set(after) == {root(i) for i in before} and all(after[i] == before[i] for i in after)
 
 
 def test_contaminated_go(stages, spark, sf_dir):
@@ -86,7 +100,7 @@ def test_stages_stand_odd_rows(spark, sf_dir, name, stage):
     for docs in (df, df.limit(0), df.withColumnRenamed("score", "fp"), df.withColumnRenamed("score", "_gone").withColumn("id", F.lit(1)).withColumn("rate", F.lit(2))):
         got = stage(spark, docs, sf_dir)
         assert set(docs.columns) <= set(got.columns)
-        assert got.count() <= 5 * 16
+        assert got.count() <= 5 or name == "mixing"
 
 
 def test_sql_of_the_queries(spark, sf_dir):
