@@ -6,6 +6,9 @@ matches REGEX (any word without one).  Everything else is mandatory and must
 occur word by word.  A template is compiled into an automaton over words, which
 accepts a text if some run of its words goes through from the first state to
 the last; the automata of all templates are run side by side.
+
+Most templates are a license's opening clause or notice, not its whole wording: a
+label says that this wording is there, not that nothing else follows.
 """
 
 from __future__ import annotations
@@ -17,7 +20,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._base import WORD_BYTES, extended
+from ._base import WORD_BYTES, extended, free
 
 #: Phrases that give a label wherever their words stand consecutively.
 PHRASES: tuple[tuple[str, str], ...] = (
@@ -37,7 +40,7 @@ _REDISTRIBUTION = (
     "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. <<var:0-1:2>> Redistributions in binary "
     "form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
-#: (label, template).
+#: Fixed values: (label, template), the licenses' own wordings.
 TEMPLATES: tuple[tuple[str, str], ...] = (
     ("mit", _PERMISSION),
     ("mit", "<<optional>>This <<var:1-3:>> is<<end>> released under the <<optional>>terms of the<<end>> MIT License"),
@@ -202,6 +205,7 @@ def scan(
     phrases: Sequence[tuple[str, str]] = PHRASES,
     templates: Sequence[tuple[str, str]] = TEMPLATES,
     carry: Iterable[str] = ("doc_id",),
+    suffix: str = "",
 ) -> DataFrame:
     """``(*carry, n_words, n_base, first_word, last_word, base_labels, labels, score, matches)`` for every row of ``docs``.
 
@@ -210,7 +214,9 @@ def scan(
     runs of words that a template's automaton accepts.  ``score``: 0 without a
     label, 0.5 for phrases alone, and from there towards 1 the more mandatory
     words the longest accepted template has.  A null text is an empty one; rows
-    repeated in ``docs`` each give a row.  Nothing is shuffled.
+    repeated in ``docs`` each give a row.  Nothing is shuffled.  ``suffix`` ends the
+    names of the eight columns, which give way to carried ones of their names by
+    underscores.
     """
     carry = list(carry)
     out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
@@ -219,4 +225,5 @@ def scan(
         "matches array<struct<label:string,first:long,end:long>>",
     )
     got = out.mapInArrow(lambda b: _scanned(b, phrases, templates), schema)
-    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *got.columns[len(carry) :])
+    own = got.columns[len(carry) :]
+    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[F.col(c).alias(n) for c, n in zip(own, free(own, carry, suffix), strict=True)])

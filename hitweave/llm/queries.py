@@ -19,6 +19,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_main_text_path_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.  Null and empty html and pages without text give an empty text; repeated pages a row each; other columns are left."""
     return extract.extract(_table(spark, sf_dir, "pages"))
 
 
@@ -28,6 +29,7 @@ def _held_out() -> Column:
 
 
 def op2_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score of every document by a model of the labels outside of the held-out fold.  Null, empty and wordless texts score 0; repeated rows give a row each; a null id is not held out."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
     model = toxicity.train(docs, labels.where(~_held_out()))
     got = toxicity.scored(docs, model)
@@ -38,6 +40,7 @@ def op2_toxicity_noisy_or(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint and class.  Null, empty and wordless texts have fingerprint zero and are one class; repeated rows give a row each; a class without any id has none."""
     got = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return got.select(
         F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id")
@@ -45,16 +48,19 @@ def op3_simhash_anchor_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_license_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's license phrases and labels.  A null text is an empty one, without words; repeated rows give a row each."""
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
 def op5_suffix_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document repeats earlier strings.  Null and empty texts have no bytes; null ids come last as one document; of rows that repeat an id, equal places aren't earlier."""
     got = substrings.repeated_substrings(_table(spark, sf_dir, "documents"))
     removed = F.aggregate("removed", F.lit(0).cast("long"), lambda a, x: a + x["end"] - x["start"])
     return got.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("removed").cast("long").alias("n_spans"), "kept_sha256")
 
 
 def op6_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of every document is in the benchmark.  Null, empty and wordless texts and items have no windows; items without an id mark words only; repeated rows give a row each."""
     got = decontaminate.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return got.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"),
@@ -63,10 +69,12 @@ def op6_benchmark_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url.  A null url, or one without ``://``, has an empty host and path, which the model judges; repeated rows give a row each."""
     return urls.judge(_table(spark, sf_dir, "pages"))
 
 
 def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents as often as drawn, with their copy's number.  Rows of equal ids, null ones too, are drawn alike; a null source is one of its own; without text a source has the rate 1."""
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
@@ -75,6 +83,7 @@ def _same(kind: str) -> Callable[[Column], Column]:
 
 
 def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms for personal values.  A null text stays null, an empty one empty; repeated rows give a row each."""
     got = pii.pseudonyms(_table(spark, sf_dir, "documents"), PII_KEY)
     names = F.transform("found", lambda x: x["kind"])
     kinds = [F.size(F.array_compact(F.transform(names, _same(kind)))).alias(f"n_{kind}") for kind, _, _ in pii.KINDS]
@@ -82,6 +91,7 @@ def op9_feistel_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_topk_impact_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 5 best of every query vector.  Null, incomplete and non-finite vectors and null ids take no part; ties go to the smaller id; a repeated query is answered once."""
     return topk.search(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 

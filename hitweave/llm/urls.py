@@ -13,7 +13,7 @@ from collections.abc import Iterable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._base import extended
+from ._base import extended, free
 
 #: Buckets of the hashed n-grams, and their lengths.
 BUCKETS = 1 << 16
@@ -155,13 +155,15 @@ def judge(
     url_col: str = "url",
     threshold: float = 0.5,
     carry: Iterable[str] = ("page_id",),
+    suffix: str = "",
 ) -> DataFrame:
     """``(*carry, host, path, rule, score, verdict)`` for every row of ``pages``; nothing is shuffled.
 
     A rule fits its host and all subdomains where the path starts as the rule's;
     the longest decides, and where none fits the model blocks at ``threshold``
     or more.  A null URL, or one without ``://``, has an empty host and path.
-    Rows repeated in ``pages`` each give a row.
+    Rows repeated in ``pages`` each give a row.  ``suffix`` ends the names of the
+    five columns, which give way to carried ones of their names by underscores.
     """
     carry = list(carry)
     host, path = host_and_path(F.col(url_col).cast("string"))
@@ -169,7 +171,8 @@ def judge(
     sent = pages.sparkSession.sparkContext.broadcast(model or fit(LABELLED))
     got = rows.mapInArrow(lambda b: _scored(b, sent), extended(rows, 0, "score double"))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    return got.select(
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "host", "path", rule.alias("rule"), "score",
-        F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")).alias("verdict"),
-    )
+    own = {
+        "host": F.col("host"), "path": F.col("path"), "rule": rule, "score": F.col("score"),
+        "verdict": F.coalesce(verdict, F.when(F.col("score") >= threshold, "block").otherwise("allow")),
+    }
+    return got.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], *[c.alias(n) for c, n in zip(own.values(), free(own, carry, suffix), strict=True)])

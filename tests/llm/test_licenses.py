@@ -62,3 +62,9 @@ def test_markup_errors():
     for bad in ("a <<optional>> b", "<<var:1-2:>> first", "a <<nothing>> b"):
         with pytest.raises((ValueError, AttributeError)):
             licenses.compile_template("x", bad)
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "MIT License", "own", 5)], "doc_id long, text string, labels string, score int")
+    row = licenses.scan(df, carry=["labels", "score"]).collect()[0]
+    assert (row["labels"], row["score"], row["labels_"]) == ("own", 5, "mit") and licenses.scan(df, suffix="_l").columns[1] == "n_words_l"

@@ -58,3 +58,9 @@ def test_model_learns_and_generalises():
 def test_training_table(spark):
     df = spark.createDataFrame([(u, y) for u, y in urls.LABELLED] + [(None, 1), ("x", None), ("y", 7)], "url string, label int")
     assert urls.train(df).score(*urls.split("https://cheap-pills.example.org/buy")) > 0.5
+
+
+def test_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "http://a.com/en/1", "own", 5)], "page_id long, url string, host string, score int")
+    row = urls.judge(df, carry=["host", "score"]).collect()[0]
+    assert (row["host"], row["score"], row["host_"], row["verdict"]) == ("own", 5, "a.com", "block") and urls.judge(df, suffix="_u").columns[1] == "host_u"
