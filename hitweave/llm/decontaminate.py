@@ -30,11 +30,11 @@ from ._base import WORD_BYTES, free, meet, small, written
 #: Bits of the broadcast bitmap at most (8 MB).  A fuller one lets more through to the join.
 BITS = 1 << 26
 #: Bytes of documents that are tokenised at a time; a longer text is read in pieces.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 #: Surroundings of one fingerprint that a hit is compared with one by one.
 MANY = 256
 #: Words whose hash a task remembers.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 _MULTIPLIER = 0x9E3779B97F4A7C15
 #: Words of a text as Java's expressions have them, A-Z not yet lower-cased.
@@ -236,11 +236,11 @@ def _windows(batches, n, place):
 
 
 def _bitmap(prints: DataFrame) -> bytes:
-    """Bits at the prints modulo their number: a power of two, at most ``BITS``, sixteen or more for each print where that allows it."""
+    """Bits at the prints modulo their number: a power of two, at most ``BITS``, 256 or more for each print where that allows it."""
     import numpy as np
 
     number = prints.count()
-    size = min(BITS, 1 << max(15, (16 * number).bit_length()))
+    size = min(BITS, 1 << max(15, (256 * number).bit_length()))
     out = np.zeros(size // 8, np.uint8)
     place = F.pmod(F.col("print"), F.lit(size))
     parts = prints.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("part")).agg(F.bitmap_construct_agg(F.expr("place % 32768")).alias("bits"))

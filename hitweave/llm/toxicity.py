@@ -21,6 +21,7 @@ from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ._base import extended, free, written
@@ -38,7 +39,7 @@ LEAST = 0.05
 #: Steps of the fit and their size, and the penalty.
 STEPS, STEP, PENALTY = 150, 0.1, 1e-5
 #: Bytes of text that are scored at a time; words whose weight a task remembers.
-CHUNK, REMEMBERED = 4 << 20, 500_000
+CHUNK, REMEMBERED = 1 << 20, 100_000
 
 _BREAK = b"\x01"
 #: Words stay (A-Z lower-cased), sentence ends become a mark, all else a space.
@@ -302,9 +303,10 @@ def _scored(batches, model, threshold):
                     p = float(1 / (1 + np.exp(-z[starts[doc] + s])))
                     found[first + doc].append({"start": int(start[s]), "end": int(stop[s]), "score": p})
         scores = np.clip(scores, 0.0, 1.0)
+        skip = int(batch.schema.names[0] == "_text")  # the text goes back only where it is carried
         yield pa.RecordBatch.from_arrays(
-            [*batch.columns[1:], pa.array(scores), pa.array(counts), pa.array(found, spans)],
-            [*batch.schema.names[1:], "score", "n_sentences", "offending"],
+            [*batch.columns[skip:], pa.array(scores), pa.array(counts), pa.array(found, spans)],
+            [*batch.schema.names[skip:], "score", "n_sentences", "offending"],
         )
 
 
@@ -318,9 +320,12 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", carry: Iterabl
     of their names by underscores.
     """
     carry = list(carry)
-    out = docs.select(F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
+    # a carried text isn't sent twice
+    own = carry.index(text_col) if text_col in carry and docs.schema[text_col].dataType == T.StringType() else None
+    first = F.col(text_col).cast("string").alias("_text" if own is None else f"_c{own}")
+    out = docs.select(first, *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry) if i != own])
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    schema = extended(out, 1, "score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
+    schema = extended(out, int(own is None), "score double, n_sentences long, offending array<struct<start:long,end:long,score:double>>")
     got = out.mapInArrow(lambda b: _scored(b, sent, 0.5), schema)
     names = ("score", "n_sentences", "offending")
     own = [F.col(c).alias(n) for c, n in zip(names, free(names, carry, suffix), strict=True)]
