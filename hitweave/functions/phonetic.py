@@ -213,35 +213,43 @@ def metaphones(column: Column) -> Column:
     return code(column)
 
 
-#: Sounds of the letters as bits: close sounds differ in few of the low bits.
-_EUDEX = dict(
-    zip(
-        "abcdefghijklmnopqrstuvwxyz",
-        (0, 72, 12, 144, 0, 64, 6, 2, 1, 1, 4, 161, 133, 149, 0, 193, 4, 161, 20, 145, 1, 65, 1, 84, 1, 148),
-        strict=True,
-    )
-)
+# Fixed values of the Eudex hash: the sounds of the letters a to z as bits, within a word and as its first
+# letter, and the weights of the bytes in a distance, from the last letter to the first.
+EUDEX_LETTERS = (0, 72, 12, 24, 0, 68, 8, 4, 1, 5, 9, 160, 2, 18, 0, 73, 168, 161, 20, 29, 1, 69, 0, 132, 1, 148)
+EUDEX_FIRST = (132, 36, 6, 12, 216, 34, 4, 2, 248, 3, 5, 80, 1, 9, 148, 37, 84, 81, 10, 14, 224, 35, 0, 66, 228, 74)
+EUDEX_WEIGHTS = (1, 2, 3, 5, 8, 13, 21, 34)
+
+
+def _letter(char: str) -> int | None:
+    """A letter's place in the alphabet, by the low byte of its code and without regard to case."""
+    place = ((ord(char) | 32) - ord("a")) & 0xFF
+    return place if place < 26 else None
 
 
 def eudex_text(word: str) -> int:
-    """A 64-bit hash of the sounds: the first letter in the top byte, then up to seven letters that differ from the one before."""
-    letters = [c for c in word.lower() if c in _EUDEX]
-    if not letters:
+    """A 64-bit hash of the sounds: the first letter in the top byte, and the last of up to eight others.
+
+    Of these a letter counts where its lowest bit differs from that of the one before.
+    """
+    if not word:
         return 0
-    codes = [_EUDEX[letters[0]]]
-    for before, c in zip(letters, letters[1:], strict=False):
-        if c != before and _EUDEX[c] > 1 and len(codes) < 8:
-            codes.append(_EUDEX[c])
-    out = codes[0] << 56
-    for n, code in enumerate(codes[1:]):
-        out |= code << 8 * (6 - n)
-    return out
+    first = _letter(word[0]) if ord(word[0]) <= 0xFF else None
+    out = taken = 0
+    for char in word[1:]:
+        if taken == 8:
+            break
+        place = _letter(char)
+        if place is not None and (EUDEX_LETTERS[place] ^ out) & 1:
+            out = (out << 8 | EUDEX_LETTERS[place]) & (1 << 64) - 1
+            taken += 1
+    return out | (0 if first is None else EUDEX_FIRST[first]) << 56
 
 
 def eudex_distance_text(a: str, b: str) -> int:
-    """Differing bits, those of earlier letters weighing more."""
-    x = eudex_text(a) ^ eudex_text(b)
-    return sum((x >> 8 * n & 0xFF).bit_count() << n for n in range(8))
+    """Differing bits by weight, those of earlier letters weighing more; negative unless the first hash is the larger."""
+    x, y = eudex_text(a), eudex_text(b)
+    apart = sum(((x ^ y) >> 8 * n & 0xFF).bit_count() * w for n, w in enumerate(EUDEX_WEIGHTS))
+    return apart if x > y else -apart
 
 
 def eudex_distance(a: Column, b: Column) -> Column:

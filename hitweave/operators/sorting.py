@@ -44,6 +44,29 @@ def sort(found: DataFrame, c: Collection, by: str = "score", now: Column | None
     newsrank (score by recency at ``now``), category, adjscore (score times one
     plus a tenth of the category), function (``key`` gives the columns).
     """
+    rows, order = _ordered(found, c, by, now, key)
+    return rows.orderBy(*order).drop("_meta")
+
+
+def places(found: DataFrame, c: Collection, by: str = "score", now: Column | None = None, key: Callable[[DataFrame], list[Column]] | None = None) -> DataFrame:
+    """The set with each record's ``place`` in the whole order, from 1; see ``sort``."""
+    rows, order = _ordered(found, c, by, now, key)
+    return numbered(rows, order, "place").drop("_meta")
+
+
+def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """The rows numbered from 1 in a total order: sorted by ranges, and each range moved on by the sizes of those before."""
+    # written, so that a range's rows and its size are of the same ranges
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = written(placed.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "order")
+    sizes = placed.groupBy("_part").count()
+    before = F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("_part", F.coalesce(before, F.lit(0)).alias("_before"))  # a row for each range
+    return placed.join(F.broadcast(starts), "_part").withColumn(name, F.col("_before") + F.col("_at") + 1).drop("_part", "_at", "_before")
+
+
+def _ordered(found, c, by, now, key):
+    """The rows with what the order needs, and the order's columns."""
     by = by.lower()
     rows = found
     if by in _META:
@@ -62,7 +85,7 @@ def sort(found: DataFrame, c: Collection, by: str = "score", now: Column | None
     } | ({"function": [*key(rows), rec]} if key else {})
     if by not in orders:
         raise ValueError(f"no such order: {by}")
-    return rows.orderBy(*orders[by]).drop("_meta")
+    return rows, orders[by]
 
 
 def external(found: DataFrame, ranks: DataFrame) -> DataFrame:
@@ -70,19 +93,20 @@ def external(found: DataFrame, ranks: DataFrame) -> DataFrame:
     return found.join(ranks.select("rec_id", "position"), "rec_id", "left").orderBy(F.col("position").asc_nulls_last(), F.desc("score"), F.desc("rec_id")).drop("position")
 
 
-def magnetised(found: DataFrame, c: Collection, band: float = 0.1, top: int = 1000) -> DataFrame:
-    """The ``top`` best with records of one category drawn together within a score band.
+def magnetised(found: DataFrame, c: Collection, band: float = 0.1) -> DataFrame:
+    """The set with records of one category drawn together within a score band.
 
     Scores fall into bands of ``band`` times the best score; within a band the
     categories follow each other by their best record.  ``rank`` gives the order.
     """
-    best = found.orderBy(F.desc("score"), F.desc("rec_id")).limit(top).join(c.records.select("rec_id", "category"), "rec_id")
-    peak = F.broadcast(best.agg(F.max("score").alias("_peak")))
-    rows = best.crossJoin(peak).withColumn("_band", F.floor((F.col("_peak") - F.col("score")) / F.greatest(F.col("_peak") * band, F.lit(1e-12))))
-    lead = Window.partitionBy("_band", "category")
-    rows = rows.withColumn("_lead", F.max("score").over(lead))
-    order = Window.orderBy("_band", F.desc("_lead"), F.col("category").asc_nulls_last(), F.desc("score"), F.desc("rec_id"))
-    return rows.withColumn("rank", F.row_number().over(order)).drop("_peak", "_band", "_lead")
+    rows = found.join(c.records.select("rec_id", "category"), "rec_id")
+    peak = F.broadcast(found.agg(F.max("score").alias("_peak")))
+    rows = written(rows.crossJoin(peak).withColumn("_band", F.floor((F.col("_peak") - F.col("score")) / F.greatest(F.col("_peak") * band, F.lit(1e-12)))), "bands")
+    # the best of a category in a band is combined before its shuffle: few rows, however many a band holds
+    leads = rows.groupBy("_band", "category").agg(F.max("score").alias("_lead"))
+    rows = rows.join(leads.withColumnRenamed("category", "_category").withColumnRenamed("_band", "_own"), (F.col("_band") == F.col("_own")) & F.col("category").eqNullSafe(F.col("_category")))
+    order = [F.asc("_band"), F.desc("_lead"), F.col("category").asc_nulls_last(), F.desc("score"), F.desc("rec_id")]
+    return numbered(rows.drop("_own", "_category"), order, "rank").drop("_peak", "_band", "_lead")
 
 
 def neighbours(c: Collection) -> DataFrame:

@@ -80,7 +80,7 @@ DATE_SINGLE = {
     "before": lambda ts, te, q: ts < q,
     "before_strict": lambda ts, te, q: te < q,
     "before_during": lambda ts, te, q: ts <= q,
-    "before_during_strict": lambda ts, te, q: te < q,
+    "before_during_strict": lambda ts, te, q: te <= q,
     "during": lambda ts, te, q: (ts <= q) & (te >= q),
     "during_strict": lambda ts, te, q: (te <= q) & (ts >= q),
     "during_after": lambda ts, te, q: te >= q,

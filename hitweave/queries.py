@@ -480,7 +480,7 @@ _DATES = {
     "before": (f"ts < {_QS}", f"ts < {_QS}"),
     "before_strict": (f"te < {_QS}", f"te < {_QS}"),
     "before_during": (f"ts <= {_QE}", f"ts <= {_QS}"),
-    "before_during_strict": (f"te <= {_QE}", f"te < {_QS}"),
+    "before_during_strict": (f"te <= {_QE}", f"te <= {_QS}"),
     "during": (f"ts BETWEEN {_QS} AND {_QE} OR te BETWEEN {_QS} AND {_QE}", f"ts <= {_QS} AND te >= {_QS}"),
     "during_strict": (f"ts > {_QS} AND ts < {_QE} AND te > {_QS} AND te < {_QE}", f"te <= {_QS} AND ts >= {_QS}"),
     "during_after": (f"te >= {_QS}", f"te >= {_QS}"),
@@ -589,13 +589,11 @@ def score_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sorted(name: str, by: str, over: str, more: str = "") -> None:
-    sql = f"WITH {_T}, {_word('a', 'that')}{more} SELECT rec_id, row_number() OVER (ORDER BY {over}) AS place FROM {'r' if more else 'a'} ORDER BY {over} LIMIT 25"
+    sql = f"WITH {_T}, {_word('a', 'that')}{more} SELECT rec_id, row_number() OVER (ORDER BY {over}) AS place FROM {'r' if more else 'a'}"
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = documents(spark, sf_dir)
-        top = sorting.sort(Engine(c).compile("that"), c, by, now=F.lit("2025-02-04").cast("timestamp")).limit(25)
-        # the report's 25 rows, in order in one task, are numbered
-        return top.coalesce(1).select("rec_id", (F.monotonically_increasing_id() + 1).alias("place"))
+        return sorting.places(Engine(c).compile("that"), c, by, now=F.lit("2025-02-04").cast("timestamp")).select("rec_id", "place")
 
     query(f"sort_{name}", sql)(run)
 
@@ -621,10 +619,15 @@ def topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(search(documents(spark, sf_dir), "that from OR", top=20))
 
 
-@query("sort_magnetised")
+@query(
+    "sort_magnetised",
+    f"WITH {_T}, {_word('a', 'that')}, bands AS (SELECT rec_id, score, rec_id % 5 AS category, floor((max(score) OVER () - score) / greatest(max(score) OVER () * 0.1, 1e-12)) AS band FROM a), "
+    "leads AS (SELECT *, max(score) OVER (PARTITION BY band, category) AS lead FROM bands) "
+    "SELECT rec_id, row_number() OVER (ORDER BY band, lead DESC, category, score DESC, rec_id DESC) AS rank FROM leads",
+)
 def sort_magnetised(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
-    return sorting.magnetised(Engine(c).compile("that"), c, top=200).select("rec_id", "rank")
+    return sorting.magnetised(Engine(c).compile("that"), c).select("rec_id", "rank")
 
 
 @query("key_navigation", "SELECT doc_id AS rec_id, 'doc-' || doc_id AS key, lag('doc-' || doc_id) OVER (ORDER BY 'doc-' || doc_id) AS prev_key, lead('doc-' || doc_id) OVER (ORDER BY 'doc-' || doc_id) AS next_key FROM documents")

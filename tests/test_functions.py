@@ -80,7 +80,13 @@ def test_sounds(spark):
     for one, two in (("Smith", "Smyth"), ("Stephen", "Steven"), ("Philip", "Filip"), ("night", "nite"), ("Catherine", "Kathryn"), ("knight", "night"), ("Schmidt", "Smith")):
         assert set(phonetic.metaphones_text(one)) & set(phonetic.metaphones_text(two)), (one, two)
     assert not set(phonetic.metaphones_text("garden")) & set(phonetic.metaphones_text("window"))
-    assert phonetic.eudex_text("") == 0 and phonetic.eudex_distance_text("same", "same") == 0 < phonetic.eudex_distance_text("jumpo", "jumbo") < phonetic.eudex_distance_text("jumpo", "horse")
+    apart = lambda a, b: abs(phonetic.eudex_distance_text(a, b))
+    assert phonetic.eudex_text("") == 0 and apart("same", "same") == 0 < apart("jumpo", "jumbo") < apart("jumpo", "horse")
+    # worked out by hand: J, then u (odd after even), m (even), p (odd), none of o's bits change
+    assert phonetic.eudex_text("Jumpo") == 0x03 << 56 | 1 << 24 | 2 << 16 | 73 << 8 == phonetic.eudex_text("jumpo")
+    assert phonetic.eudex_text("jumbo") == 0x03 << 56 | 1 << 8 | 2
+    assert phonetic.eudex_distance_text("b", "a") == -phonetic.eudex_distance_text("a", "b") == -34 * (36 ^ 132).bit_count()
+    assert phonetic.eudex_text("i-1") == 248 << 56
     assert column(spark, lambda c: phonetic.eudex_distance(c, F.lit("ring")), ["ring", None]) == [0, None]
 
 
