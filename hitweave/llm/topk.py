@@ -207,7 +207,7 @@ def search(
     vectors = rows.select(dealt("shard", shards, 2), F.lit(None).cast("long").alias("key"), "id", "vector", everywhere("block", blocks)).select("shard", "block", "key", "id", "vector")
     some = (
         vectors.unionByName(queries)
-        .repartition(shards * blocks, "shard", "block")
+        .repartitionById(shards * blocks, F.col("shard") * blocks + F.col("block"))  # a shard and a block for each task, none left over
         .sortWithinPartitions("shard", "block", F.col("key").asc_nulls_first(), "id")
         .mapInArrow(lambda b: _answers(b, k, scale), _ANSWERS)
     )
