@@ -118,7 +118,10 @@ def lowered(text: str) -> str:
 
 @dataclasses.dataclass
 class Collection:
-    """Tables of one corpus.  ``postings`` may be a table on disk or a plan over ``records``."""
+    """Tables of one corpus.  ``postings`` may be a table on disk or a plan over ``records``.
+
+    ``meta`` has the columns of ``records`` but the text, ``words`` the vocabulary; both are written with the index.
+    """
 
     spark: SparkSession
     records: DataFrame
@@ -129,6 +132,8 @@ class Collection:
     aliases: dict[str, str] = dataclasses.field(default_factory=dict)
     name: str = ""
     counts: DataFrame | None = None
+    meta: DataFrame | None = None
+    words: DataFrame | None = None
 
     @classmethod
     def of(
@@ -140,15 +145,17 @@ class Collection:
         """
         stop = frozenset(stopwords)
         rows = _indexing(recs, pattern, stop)
-        counts = None
+        counts = meta = words = None
         if indexed:
-            counts = written(_counted(recs), "counts")
+            meta = written(recs.drop("text"), "meta")
+            counts = written(_counted(meta), "counts")
             # ranges of (word, record): a very common word takes several files, and all files are sorted;
             # finding the ranges takes a pass over the rows, which should not make them again
             raw = written(_indexing(spread(recs), pattern, stop), "words")
             rows = written(raw.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
+            words = written(_vocabulary(raw).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary")
             discard(raw)
-        return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, **more)
+        return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, meta=meta, words=words, **more)
 
     def indexing(self, recs: DataFrame) -> DataFrame:
         """The postings of some records, made from their texts."""
@@ -170,7 +177,11 @@ class Collection:
 
     def vocabulary(self) -> DataFrame:
         """``(term, tf, df)`` of all words."""
-        return self.postings.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+        return _vocabulary(self.postings) if self.words is None else self.words
+
+    def described(self) -> DataFrame:
+        """The records' columns but the text, without a scan of it where the index is written."""
+        return self.records.drop("text") if self.meta is None else self.meta
 
     def statistics(self) -> DataFrame:
         """One row: ``n_records`` and ``avg_len`` over all records, deleted ones too."""
@@ -181,5 +192,9 @@ def _indexing(recs: DataFrame, pattern: str, stop: frozenset[str]) -> DataFrame:
     return recs.select("rec_id", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
 
 
+def _vocabulary(posts: DataFrame) -> DataFrame:
+    return posts.groupBy("term").agg(F.sum("tf").alias("tf"), F.count(F.lit(1)).alias("df"))
+
+
 def _counted(recs: DataFrame) -> DataFrame:
     return recs.agg(F.count(F.lit(1)).alias("n_records"), F.avg("rec_len").alias("avg_len"))

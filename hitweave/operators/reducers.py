@@ -54,12 +54,12 @@ def boost(found: DataFrame, weight: float) -> DataFrame:
 
 def with_meta(found: DataFrame, c: Collection, column: str, pattern: str) -> DataFrame:
     """WITHKEY, FILE, EXTENSION, DOCTYPE: records whose metadata matches a glob."""
-    return found.join(c.records.where(matches_glob(F.col(column), pattern)).select("rec_id"), "rec_id", "left_semi")
+    return found.join(c.described().where(matches_glob(F.col(column), pattern)).select("rec_id"), "rec_id", "left_semi")
 
 
 def in_dates(found: DataFrame, c: Collection, low: str | None, high: str | None) -> DataFrame:
     """WITHIN:daterange: records dated from ``low`` to before ``high`` (timestamps; null: open)."""
-    rows = c.records.where(F.col("date").isNotNull())
+    rows = c.described().where(F.col("date").isNotNull())
     if low is not None:
         rows = rows.where(F.col("date") >= F.lit(low).cast("timestamp"))
     if high is not None:

@@ -30,9 +30,12 @@ def _wanted(term: Column, pattern: str | None, method: str) -> Column:
 
 def terms(c: Collection, pattern: str | None = None, method: str = "", field: str | None = None) -> DataFrame:
     """``(term, freq)``: words of two letters or more; ``pattern``: a prefix, a glob, or several parted by ``|``; in a field if given."""
-    rows = c.postings.where(_wanted(F.col("term"), pattern, method)).where(~F.col("term").isin(*c.stopwords) if c.stopwords else F.lit(True))
+    wanted = _wanted(F.col("term"), pattern, method)
+    if c.stopwords:
+        wanted &= ~F.col("term").isin(*c.stopwords)
     if field is None:
-        return rows.groupBy("term").agg(F.sum("tf").cast("long").alias("freq"))
+        return c.vocabulary().where(wanted).select("term", F.col("tf").cast("long").alias("freq"))
+    rows = c.postings.where(wanted)
     own = of_field(c.extents, field).groupBy("rec_id").agg(F.collect_list(F.struct("f_start", "f_end")).alias("_ext"))
     inside = F.filter("hits", lambda h: F.exists("_ext", lambda e: (h["start"] >= e["f_start"]) & (h["end"] <= e["f_end"])))
     return rows.join(own, "rec_id").select("term", F.size(inside).alias("n")).where("n > 0").groupBy("term").agg(F.sum("n").cast("long").alias("freq"))
@@ -53,7 +56,7 @@ def facets(found: DataFrame, extents: DataFrame, field: str, words: bool = False
 def term_statistics(c: Collection) -> DataFrame:
     """One row: words in all, different words, records, records with any word."""
     total = c.vocabulary().agg(F.sum("tf").alias("n_tokens"), F.count(F.lit(1)).alias("n_terms"))
-    return total.crossJoin(c.records.agg(F.count(F.lit(1)).alias("n_records")))
+    return total.crossJoin(c.described().agg(F.count(F.lit(1)).alias("n_records")))
 
 
 def field_statistics(extents: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ def score(
     tf, w = F.col("hit_count").cast("double"), F.lit(float(weight))
     rows = found
     if method in ("bm25", "bytes"):
-        rows = rows.join(c.records.select("rec_id", "rec_len", "date"), "rec_id")
+        rows = rows.join(c.described().select("rec_id", "rec_len", "date"), "rec_id")
     if method not in ("l2", "l1", "max"):  # those divide idf by itself
         rows = rows.crossJoin(F.broadcast(c.statistics().crossJoin(found.agg(F.count(F.lit(1)).alias("_n")))))
     big, n = F.col("n_records").cast("double"), F.col("_n").cast("double")
@@ -111,6 +111,6 @@ def hybrid(found: DataFrame, weight: float = 1.0) -> DataFrame:
 def with_priority(found: DataFrame, c: Collection, factor: float) -> DataFrame:
     """Records with a priority gain ``factor / priority`` times the spread of the scores."""
     ends = F.broadcast(found.agg((F.max("score") - F.min("score")).alias("_spread")))
-    rows = found.join(c.records.select("rec_id", "priority"), "rec_id").crossJoin(ends)
+    rows = found.join(c.described().select("rec_id", "priority"), "rec_id").crossJoin(ends)
     more = F.when(F.col("priority") > 0, F.lit(float(factor)) * F.col("_spread") / F.col("priority")).otherwise(0.0)
     return rows.withColumn("score", F.col("score") + F.coalesce(more, F.lit(0.0))).drop("priority", "_spread")

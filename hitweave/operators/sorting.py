@@ -70,7 +70,7 @@ def _ordered(found, c, by, now, key):
     by = by.lower()
     rows = found
     if by in _META:
-        rows = rows.join(c.records.select("rec_id", F.col(_META[by]).alias("_meta")), "rec_id")
+        rows = rows.join(c.described().select("rec_id", F.col(_META[by]).alias("_meta")), "rec_id")
     score, rec = F.desc("score"), F.desc("rec_id")
     if by == "newsrank":
         hours = (((now if now is not None else F.current_timestamp()).cast("long") - F.col("_meta").cast("long")) / 3600).cast("long")
@@ -99,7 +99,7 @@ def magnetised(found: DataFrame, c: Collection, band: float = 0.1) -> DataFrame:
     Scores fall into bands of ``band`` times the best score; within a band the
     categories follow each other by their best record.  ``rank`` gives the order.
     """
-    rows = found.join(c.records.select("rec_id", "category"), "rec_id")
+    rows = found.join(c.described().select("rec_id", "category"), "rec_id")
     peak = F.broadcast(found.agg(F.max("score").alias("_peak")))
     rows = written(rows.crossJoin(peak).withColumn("_band", F.floor((F.col("_peak") - F.col("score")) / F.greatest(F.col("_peak") * band, F.lit(1e-12)))), "bands")
     # the best of a category in a band is combined before its shuffle: few rows, however many a band holds
@@ -115,7 +115,7 @@ def neighbours(c: Collection) -> DataFrame:
     The keys are sorted by ranges; the ends of a range meet through the first
     and last key of each, which are as few as there are ranges.
     """
-    keys = c.records.where("key is not null").select("rec_id", "key")
+    keys = c.described().where("key is not null").select("rec_id", "key")
     # written, so that both uses see the same ranges
     placed = written(keys.repartitionByRange("key").withColumn("_part", F.spark_partition_id()), "keys")
     order = Window.partitionBy("_part").orderBy("key", "rec_id")

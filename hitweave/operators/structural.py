@@ -12,7 +12,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import field_glob, is_glob, matches_glob
-from .positional import pairs
 from .results import COLUMNS, renamed, result
 
 
@@ -81,13 +80,21 @@ def _paired(left: DataFrame, right: DataFrame, extents: DataFrame, test, tagged:
             return F.struct(h["start"].alias("start"), h["end"].alias("end"), h["src"].alias("src"), container(h).alias("c"))
 
         both = both.withColumn("hits", F.transform("hits", tag)).withColumn("r_hits", F.transform("r_hits", tag))
-    found = both.withColumn("_pairs", pairs("hits", "r_hits", test)).where(F.size("_pairs") > 0)
-
-    def plain(side: str):
-        return lambda p: F.struct(p[side]["start"].alias("start"), p[side]["end"].alias("end"), p[side]["src"].alias("src"))
-
-    hits = F.array_distinct(F.concat(F.transform("_pairs", plain("x")), F.transform("_pairs", plain("y"))))
-    return result(found.withColumn("_hits", hits), score=F.col("score") + F.col("r_score"), hit_count=F.size("_pairs"), aux_count=2, hits=F.col("_hits"))
+    # generators keep the optimiser from putting the containers into the test of each pair
+    both = both.select("rec_id", "score", "r_score", "_ext", F.explode(F.array(F.struct("hits", "r_hits"))).alias("_h"))
+    left_hits, right_hits = F.col("_h.hits"), F.col("_h.r_hits")
+    # how many of the right each of the left has: no pair is formed
+    partners = F.transform(left_hits, lambda x: F.size(F.filter(right_hits, lambda y: test(x, y))).cast("long"))
+    found = both.withColumn("_n", F.explode(F.array(partners))).where(F.exists("_n", lambda n: n > 0))
+
+    def plain(h: Column) -> Column:
+        return F.struct(h["start"].alias("start"), h["end"].alias("end"), h["src"].alias("src"))
+
+    mine = F.filter(left_hits, lambda x, i: F.element_at("_n", i + 1) > 0)
+    others = F.filter(right_hits, lambda y: F.exists(left_hits, lambda x: test(x, y)))
+    hits = F.array_distinct(F.concat(F.transform(mine, plain), F.transform(others, plain)))
+    count = F.aggregate("_n", F.lit(0).cast("long"), lambda a, n: a + n)
+    return result(found.withColumn("_hits", hits), score=F.col("score") + F.col("r_score"), hit_count=count, aux_count=2, hits=F.col("_hits"))
 
 
 def _ordered(x: Column, y: Column, order: str | None) -> Column:

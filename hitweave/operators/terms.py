@@ -25,6 +25,23 @@ def _many(df: DataFrame, src: int) -> DataFrame:
     return _one(rows, src)
 
 
+#: Words that are asked for by name at most; beyond them the whole index is read.
+NAMED = 1000
+
+
+def _matching(c: Collection, keep: Column) -> DataFrame:
+    """Postings of the words that stand a test.
+
+    The words are found in the vocabulary, where it is written, and asked for by name, so that
+    only row groups with one of them are read; where there are many, the index is filtered.
+    """
+    if c.words is not None:
+        some = [r.term for r in c.words.where(keep).select("term").take(NAMED + 1)]
+        if len(some) <= NAMED:
+            return c.postings.where(F.col("term").isin(some))
+    return c.postings.where(keep)
+
+
 def term(c: Collection, word: str, src: int = 0) -> DataFrame:
     """Records with the word, in any case; the word's alias where it has one, nothing for a stopword."""
     word = c.aliases.get(word.lower(), word.lower())
@@ -40,18 +57,18 @@ def prefix(c: Collection, start: str, src: int = 0) -> DataFrame:
 def suffix(c: Collection, end: str, src: int = 0) -> DataFrame:
     """Left truncation: words that end so; three characters at least."""
     _long_enough(end, 3)
-    return _many(c.postings.where(F.col("term").endswith(end.lower())), src)
+    return _many(_matching(c, F.col("term").endswith(end.lower())), src)
 
 
 def containing(c: Collection, part: str, src: int = 0) -> DataFrame:
     """Truncation on both sides; three characters at least."""
     _long_enough(part, 3)
-    return _many(c.postings.where(F.col("term").contains(part.lower())), src)
+    return _many(_matching(c, F.col("term").contains(part.lower())), src)
 
 
 def glob(c: Collection, pattern: str, src: int = 0) -> DataFrame:
     """Words that match a glob."""
-    return _many(c.postings.where(matches_glob(F.col("term"), pattern.lower())), src)
+    return _many(_matching(c, matches_glob(F.col("term"), pattern.lower())), src)
 
 
 def _long_enough(text: str, least: int) -> None:
@@ -134,23 +151,27 @@ def compound(c: Collection, words: Sequence[str], src: int = 0) -> DataFrame:
 def sounding(c: Collection, word: str, method: str = "metaphone", src: int = 0) -> DataFrame:
     """``word#``: words that sound alike, by Soundex or by the Metaphone codes.
 
-    The codes of the vocabulary are compared, and the postings joined with the
-    few words that are left.
+    The codes of the vocabulary are compared.
     """
     if method == "soundex":
         same = F.soundex("term") == F.soundex(F.lit(word.lower()))
-        return _many(c.postings.where(same & F.col("term").rlike("^[a-z]")), src)
+        return _many(_matching(c, same & F.col("term").rlike("^[a-z]")), src)
     one, two = phonetic.metaphones_text(word)
     codes = [x for x in {one, two} if x]
-    words = c.vocabulary().select("term").where(F.arrays_overlap(phonetic.metaphones(F.col("term")), F.array(*map(F.lit, codes)) if codes else F.array().cast("array<string>")))
-    return _many(c.postings.join(words, "term"), src)
+    if not codes:
+        return _many(c.postings.where("false"), src)
+    same = F.arrays_overlap(phonetic.metaphones(F.col("term")), F.array(*map(F.lit, codes)))
+    if c.words is not None:
+        return _many(_matching(c, same), src)
+    # without a vocabulary the codes of each different word are made once
+    return _many(c.postings.join(c.vocabulary().select("term").where(same), "term"), src)
 
 
 def fuzzy(c: Collection, word: str, most: int | None = None, src: int = 0) -> DataFrame:
     """``word~``: as ``sounding``; with ``most``, words within that many edits."""
     if most is None:
         return sounding(c, word, src=src)
-    return _many(c.postings.where(F.levenshtein(F.col("term"), F.lit(word.lower()), most) >= 0), src)
+    return _many(_matching(c, F.levenshtein(F.col("term"), F.lit(word.lower()), most) >= 0), src)
 
 
 def free_form(found: DataFrame) -> DataFrame:
@@ -165,4 +186,4 @@ def weighted(found: DataFrame, weight: float) -> DataFrame:
 
 def by_meta(c: Collection, column: str, pattern: str, fold: bool = False) -> DataFrame:
     """Records whose key, file name, doctype or other metadata matches a glob; no hits."""
-    return result(c.records.where(matches_glob(F.col(column), pattern, fold)).select("rec_id"))
+    return result(c.described().where(matches_glob(F.col(column), pattern, fold)).select("rec_id"))

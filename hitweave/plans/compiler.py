@@ -147,7 +147,7 @@ class Engine:
         if kind in ("phonetic", "phone2", "metaphone", "name"):
             return typed.phonetic(exts, field, text.split(), "metaphone" if kind in ("metaphone", "name") else "soundex")
         if how in ("<>", "!="):
-            return structural.not_field(self.collection.records, structural.within(terms.term(self.collection, text), exts, field), exts, field)
+            return structural.not_field(self.collection.described(), structural.within(terms.term(self.collection, text), exts, field), exts, field)
         found = terms.prefix(self.collection, text) if how in (">", ">=") else terms.term(self.collection, text)
         return structural.within(found, exts, field)
 
@@ -155,7 +155,7 @@ class Engine:
         c, name, arg = self.collection, node.name, node.arg
         if name == "EMPTY":
             self.warnings.append("operands cannot be siblings")
-            return result(c.records.where("false").select("rec_id"))
+            return result(c.described().where("false").select("rec_id"))
         if not node.operands:
             return terms.by_meta(c, "key" if name == "KEY" else "file_name", arg)
         if name in ("JOIN", "JOINL", "JOINR"):
@@ -176,7 +176,7 @@ class Engine:
         if name in plain:
             return plain[name](a, b)
         if name in ("XNOR", "NOR", "NAND"):
-            return {"XNOR": sets.xnor, "NOR": sets.nor, "NAND": sets.nand}[name](c.records, a, b)
+            return {"XNOR": sets.xnor, "NOR": sets.nor, "NAND": sets.nand}[name](c.described(), a, b)
         if name in ("PEER", "PEERB", "PEERA"):
             return structural.peer(a, b, self._exts(), {"PEERB": "before", "PEERA": "after"}.get(name))
         if name == "XPEER":
@@ -184,7 +184,7 @@ class Engine:
         if name == "ANCESTOR":
             return structural.ancestor(a, b, self._exts())
         if name == "NEIGHBOR":
-            return positional.neighbor(a, b, c.records)
+            return positional.neighbor(a, b, c.described())
         if name == "FAR":
             return structural.xpeer(a, b, c.extents) if c.extents is not None and arg is None else positional.far(a, b, int(arg or positional.NEAR))
         return self._near(name, arg, node.relation, a, b)
@@ -197,7 +197,7 @@ class Engine:
             return positional.near(a, b, positional.NEAR, order)
         if arg.endswith("%") or (0 < float(arg) < 1):
             share = float(arg.rstrip("%")) / (100 if arg.endswith("%") else 1)
-            return positional.near(a, b, positional.share_of_length(share), order, lengths=self.collection.records)
+            return positional.near(a, b, positional.share_of_length(share), order, lengths=self.collection.described())
         n = int(float(arg))
         if relation in (">", ">="):
             return positional.near(a, b, n + (relation == ">"), order, far=True)
@@ -208,7 +208,7 @@ class Engine:
     def _unary(self, name: str, arg: str | None, relation: str | None, a: DataFrame) -> DataFrame:
         c = self.collection
         if name == "NOT":
-            return sets.not_(c.records, a) if arg is None else structural.not_field(c.records, a, self._exts(), arg)
+            return sets.not_(c.described(), a) if arg is None else structural.not_field(c.described(), a, self._exts(), arg)
         if name in ("WITHIN", "INSIDE"):
             if arg[0].isdigit():
                 low, _, high = arg.partition("..") if ".." in arg else arg.partition(",")
@@ -253,8 +253,8 @@ class Engine:
         far = self.other[node.arg]
         a, b = self._node(left), far._node(right)
         if node.name == "JOINR":
-            return sets.join_key(b, far.collection.records, a, self.collection.records)
-        return sets.join_key(a, self.collection.records, b, far.collection.records)
+            return sets.join_key(b, far.collection.described(), a, self.collection.described())
+        return sets.join_key(a, self.collection.described(), b, far.collection.described())
 
 
 def search(c: Collection, query: Node | str, notation: str = "", sort: str = "score", top: int | None = None, start: int = 0, **options) -> DataFrame:
@@ -264,7 +264,7 @@ def search(c: Collection, query: Node | str, notation: str = "", sort: str = "sc
     """
     node = {"rpn": parse_rpn, "infix": parse_infix}.get(notation, parse)(query) if isinstance(query, str) else query
     found = Engine(c, **options).compile(node)
-    kept = found.join(c.records.where("not deleted").select("rec_id"), "rec_id", "left_semi")
+    kept = found.join(c.described().where("not deleted").select("rec_id"), "rec_id", "left_semi")
     out = sorting.sort(kept, c, sort)
     out = out.offset(start) if start else out
     return out.limit(top) if top else out

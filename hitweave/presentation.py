@@ -116,7 +116,7 @@ def present(found: DataFrame, c: Collection, element_set: str = "B", syntax: str
 
 def report(found: DataFrame, c: Collection, style: str = "tab") -> DataFrame:
     """``(rec_id, line)``: a line for each result: terse (key), tab, json or xml."""
-    rows = headline(found.join(c.records.select("rec_id", "key", "file_name"), "rec_id"), c)
+    rows = headline(found.join(c.described().select("rec_id", "key", "file_name"), "rec_id"), c)
     fields: Mapping[str, Column] = {
         "score": F.round("score", 4).cast("string"), "key": F.coalesce("key", F.lit("")), "file": F.coalesce("file_name", F.lit("")),
         "hits": F.col("hit_count").cast("string"), "headline": F.coalesce("headline", F.lit("")),

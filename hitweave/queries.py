@@ -97,7 +97,8 @@ def conversations(spark: SparkSession, sf_dir: str) -> Collection:
             .unionByName(extents(placed, "turn", path=F.lit("conversation/exchange/turn"), depth=F.lit(2), txt="text", **own))
             .unionByName(extents(placed, F.col("role"), path=F.concat(F.lit("conversation/exchange/turn/"), F.col("role")), depth=F.lit(3), txt="text", **own))
         )
-        return Collection.of(records(whole, "conv_id", "text"), written(by_field(exts), "extents"), name="conversations")
+        # texts are put together once, not by each query that shows them
+        return Collection.of(written(records(whole, "conv_id", "text"), "records"), written(by_field(exts), "extents"), name="conversations")
 
     return _once(spark, sf_dir, "conversations", make)
 
