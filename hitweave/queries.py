@@ -925,3 +925,7 @@ def bm25_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bm25_top(spark, sf_dir)
+
+
+# the queries of the sources and the store register themselves
+from . import source_queries as source_queries  # noqa: E402

@@ -30,19 +30,25 @@ def scratch(spark: SparkSession) -> str:
     return root
 
 
+def folder(spark: SparkSession, tag: str) -> str:
+    """A new place in the shared folder, which is deleted at the end of the driver process."""
+    path = f"{scratch(spark)}/hitweave-{tag}-{uuid.uuid4().hex}"
+    if not _tables:
+        atexit.register(_discard_all)
+    _tables.append((spark, path))
+    return path
+
+
 def written(df: DataFrame, tag: str) -> DataFrame:
     """Cuts the lineage: ``df`` as a table in the shared folder, which survives lost executors.
 
     The table stays until ``discard`` or the end of the driver process.
     """
     spark = df.sparkSession
-    path = f"{scratch(spark)}/hitweave-{tag}-{uuid.uuid4().hex}"
+    path = folder(spark, tag)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hitweave_path = path
-    if not _tables:
-        atexit.register(_discard_all)
-    _tables.append((spark, path))
     return out
 
 
