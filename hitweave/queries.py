@@ -143,6 +143,8 @@ p AS (
 )"""
 _P = _PLACES.format(id="doc_id", table="documents")
 _N = "(SELECT count(*) FROM documents)"
+#: Soundex T600: sounds of T, no others before an R, none after it; H and W part nothing, vowels and digits do.
+_T600 = "regexp_full_match(w, 't[thwd]*([aeiouy0-9][aeiouyhw0-9]*)?r[rhw]*([aeiouy0-9][aeiouyhw0-9]*)?')"
 
 
 def _leaf(name: str, cond: str, weight: float = 1.0, source: str = "t") -> str:
@@ -225,7 +227,10 @@ def term_compound(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(scoring.score(terms.compound(c, ["the", "the"]), c)) if terms.phrase(c, ["the", "the"]).isEmpty() else digest(scoring.score(terms.term(c, "thethe"), c))
 
 
-@query("term_soundex")
+@query(
+    "term_soundex",
+    _sql(_T, _leaf("a", _T600), out="FROM a"),
+)
 def term_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
     return digest(scoring.score(terms.sounding(c, "there", "soundex"), c))
@@ -654,7 +659,10 @@ def scan_glob(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.terms(documents(spark, sf_dir), "t*n[gd]")
 
 
-@query("scan_soundex")
+@query(
+    "scan_soundex",
+    f"WITH {_T} SELECT w AS term, count(*) AS freq FROM t WHERE length(w) > 1 AND {_T600} GROUP BY w",
+)
 def scan_soundex(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.terms(documents(spark, sf_dir), "there", "soundex")
 
@@ -696,7 +704,14 @@ def field_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan.field_statistics(conversations(spark, sf_dir).extents).where(~F.col("field").isin("conversation", "exchange")).select("field", "entries")
 
 
-@query("centroid")
+@query(
+    "centroid",
+    f"WITH {_C} SELECT 'word' AS kind, w AS name, count(*) AS freq FROM c GROUP BY w "
+    "UNION ALL SELECT 'field', 'conversation', count(DISTINCT conv_id) FROM conversations "
+    "UNION ALL SELECT 'field', 'conversation/exchange', count(*) FROM (SELECT DISTINCT conv_id, turn // 2 FROM conversations) "
+    "UNION ALL SELECT 'field', 'conversation/exchange/turn', count(*) FROM conversations "
+    "UNION ALL SELECT 'field', 'conversation/exchange/turn/' || role, count(*) FROM conversations GROUP BY role",
+)
 def centroid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The vocabulary and the fields of a collection, for exchange with others."""
     return presentation.centroid(conversations(spark, sf_dir))
@@ -782,7 +797,10 @@ def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.json_extents(table(spark, sf_dir, "events"), "event_id", "props").select("rec_id", "path", "num")
 
 
-@query("html_title")
+@query(
+    "html_title",
+    "SELECT page_id AS rec_id, 'html/head/title' AS path, trim(replace(replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&lt;', '<'), '&gt;', '>'), '&amp;', '&')) AS txt FROM pages",
+)
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     exts = html_source.extents_of(table(spark, sf_dir, "pages"), "page_id", "html")
     return structural.of_field(exts, "head/title").select("rec_id", "path", "txt")
@@ -794,7 +812,13 @@ def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structural.of_field(exts, "a@href").select("rec_id", "txt")
 
 
-@query("html_headings_search")
+@query(
+    "html_headings_search",
+    _sql(
+        "h AS (SELECT page_id AS rec_id, unnest(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1)) AS h FROM pages)",
+        "t AS (SELECT rec_id, unnest(regexp_extract_all(lower(h), '[a-z0-9]+')) AS w FROM h)", _word("a", "de"), out="FROM a",
+    ),
+)
 def html_headings_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A fielded search in pages: the word within the first heading."""
     recs, exts = html_source.collection_tables(table(spark, sf_dir, "pages"), "page_id", "html", key="url")
@@ -807,7 +831,10 @@ def present_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return presentation.context(Engine(c).compile("garden thatin OR"), c, 20).select("rec_id", "context")
 
 
-@query("present_highlight")
+@query(
+    "present_highlight",
+    f"WITH {_T} SELECT doc_id AS rec_id, regexp_replace(text, '(?i)\\b(thatin)\\b', '<b>\\1</b>', 'g') AS text FROM documents WHERE doc_id IN (SELECT rec_id FROM t WHERE w = 'thatin')",
+)
 def present_highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = documents(spark, sf_dir)
     return presentation.highlighted(Engine(c).compile("thatin"), c, "<b>", "</b>").select("rec_id", "text")
