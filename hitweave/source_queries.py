@@ -121,6 +121,11 @@ _registered(
     "source_maildigest", "MAILDIGEST", "From: a@b\nSubject: {p_name}\nMessage-ID: <{p_partkey}@parts>\n\n{p_brand} is here.", {"subject": "p_name", "body": "p_brand || ' is here.'"},
     key="'<' || p_partkey || '@parts>'", head=f"Of parts\n\n{'-' * 30}\n\n", between=f"\n\n{'-' * 30}\n\n",
 )
+_registered("source_ris_split", "RIS", "TY  - JOUR\nTI  - {p_name}\nAU  - {p_brand}\nAU  - {p_type}\nID  - {p_partkey}\nER  - ", {"title": "p_name", "author": "p_brand; p_type"}, options={"split": True})
+_registered(
+    "source_xml_split", "XML", '<part size="{p_size}"><id>{p_partkey}</id><name>{p_name}</name></part>', {"part@size": "p_size", "part/name": "p_name"},
+    head="<parts>", tail="</parts>\n", options={"row_tag": "part", "split": True},
+)
 _registered("source_autodetect", "AUTODETECT", "TY  - JOUR\nTI  - {p_name}\nID  - {p_partkey}\nER  - ", {"title": "p_name"})
 
 

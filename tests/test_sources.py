@@ -132,3 +132,49 @@ def test_own_formats(spark, tmp_path):
     finally:
         unregister("UPPER")
     assert "UPPER" not in FORMATS
+
+
+MANY = {
+    "RIS": ("TY  - JOUR\nTI  - Nr {n} é\nID  - {n}\nER  - \n", {}),
+    "MEDLINE": ("PMID- {n}\nTI  - Nr {n}\n      goes on\n\n", {}),
+    "DIALOG-B": ("AN- {n}\nTI- Nr {n}\n", {}),
+    "REFERBIB": ("%T Nr {n}\n%M {n}\n\n\n", {}),
+    "MAILFOLDER": ("From a@b Mon Mar  2 10:00:00 2020\nSubject: Nr {n}\nMessage-ID: <{n}@x>\n\nFrom here on.\n>From {n}\n\n\n\n", {}),
+    "ONELINE": ("Nr {n}\n\n", {}),
+    "NDJSON": ('{{"id": {n}, "a": ["Nr", {n}]}}\n', {}),
+    "RSS": ("<item><guid>{n}</guid><title>Nr {n}</title></item>\n", {}),
+    "ATOM": ("<entry><id>{n}</id><title>Nr {n}</title></entry>", {}),
+    "XML": ('<r a="{n}"><id>{n}</id></r>', {"row_tag": "r"}),
+}
+
+
+@pytest.mark.parametrize("name", MANY)
+def test_split_files(spark, tmp_path, name):
+    """Files cut anywhere give the records that they give as a whole."""
+    from pyspark.sql import functions as F
+
+    source, options = MANY[name]
+    for file, count in (("a", 150), ("b", 1), ("c", 0), ("d", 40)):
+        (tmp_path / file).write_text("".join(source.format(n=n) for n in range(count)), encoding="utf-8")
+
+    def got(**how):
+        recs, exts = read(spark, str(tmp_path), name, **options, **how)
+        whole = exts.groupBy("rec_id").agg(F.sort_array(F.collect_list(F.struct("path", "txt", "f_start", "f_end"))).alias("f"))
+        rows = recs.join(whole, "rec_id", "left").select("rec_id", "file_name", "text", F.to_json("f").alias("f")).collect()
+        assert len({r.rec_id for r in rows}) == len(rows)
+        return sorted((r.file_name, r.text.strip(), r.f) for r in rows)
+
+    want = got()
+    assert len(want) >= 191
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "97")
+        assert got(split=True) == want
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
+def test_split_needs_marks(spark, tmp_path):
+    for name in ("BIBTEX", "PARA", "XML"):
+        with pytest.raises(ValueError):
+            read(spark, str(tmp_path), name, split=True)
