@@ -38,6 +38,17 @@ HOMES = 4096
 HEAVY = 100_000
 
 
+def majority(hashes):
+    """The bits that over half of the 64-bit hashes have; 0 for none."""
+    import numpy as np
+
+    bits = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), 1 << 16):
+        some = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
+        bits += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0]
+
+
 def _fingerprints(batches, shingle):
     import numpy as np
     import pyarrow as pa
@@ -57,11 +68,7 @@ def _fingerprints(batches, shingle):
                 sizes = np.fromiter(map(len, words), np.int64, len(words))
                 ends = np.cumsum(sizes + 1) - 1
                 hashes = [digest(line[s:e], 42) for s, e in zip((ends - sizes).tolist(), ends[shingle - 1 :].tolist())]
-            bits = np.zeros(64, np.int64)
-            for at in range(0, len(hashes), 1 << 16):
-                some = np.array(hashes[at : at + (1 << 16)], "<u8").view(np.uint8).reshape(-1, 8)
-                bits += np.unpackbits(some, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-            out[row] = np.packbits(2 * bits > len(hashes), bitorder="little").view("<u8")[0]
+            out[row] = majority(hashes)
         yield pa.RecordBatch.from_arrays([*batch.columns[:1], *batch.columns[2:], pa.array(out.view(np.int64))], ["id", *batch.schema.names[2:], "fp"])
 
 

@@ -3,10 +3,12 @@
 All texts whose sets of shingles have a similarity of at least ``SIMILARITY``
 are linked:
 
-* Candidates share one of ``BANDS`` bands of ``ROWS`` MinHashes each, and differ
-  in at most ``APART`` of the 128 bits that the MinHashes' lowest bits make.  Of
-  a pair at 0.8 the bands miss 5 in 10**8 and the bits 2 in 10**8; above that
-  fewer.
+* Candidates are, by the anchors of ``simhash``, all sets whose SimHashes differ
+  in at most four of 64 bits; that reaches the nearest pairs only.
+* Candidates are also what shares one of ``BANDS`` bands of ``ROWS`` MinHashes
+  each, and differs in at most ``APART`` of the 128 bits that the MinHashes'
+  lowest bits make.  Of a pair at 0.8 the bands miss 5 in 10**8 and the bits 2
+  in 10**8; above that fewer.
 * What candidates connect is brought together with its whole sets, and compared
   exactly: rare shingles first, texts of a class that is linked already are
   left out, and no other pair is that could be similar enough.
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._base import components, extended, meet, written
-from .simhash import survivors
+from .simhash import links, majority, survivors
 
 #: The least similarity that links, as a fraction.
 SIMILARITY = (4, 5)
@@ -93,7 +95,7 @@ def _marked(batches, shingle, whole):
 
     seeds = _seeds()
     for batch in (b.slice(at, 1024) for b in batches for at in range(0, b.num_rows, 1024)):
-        fps, sets, sketches = np.zeros(batch.num_rows, np.uint64), [], []
+        fps, sets, sketches, simhashes = np.zeros(batch.num_rows, np.uint64), [], [], np.zeros(batch.num_rows, np.uint64)
         for row, text in enumerate(batch.column(1).cast(pa.binary()).to_pylist()):
             hashes = _shingles(text, shingle)
             if len(hashes):
@@ -101,23 +103,35 @@ def _marked(batches, shingle, whole):
             if whole:
                 sets.append(hashes.tobytes())
                 sketches.append(_sketch(hashes, seeds) if len(hashes) else None)
-        more = [pa.array(sets, pa.binary()), pa.array(sketches, pa.binary())] if whole else []
-        names = ["id", *batch.schema.names[2:], "fp", *(["hashes", "sketch"] if whole else [])]
+                simhashes[row] = majority(hashes)
+        more = [pa.array(sets, pa.binary()), pa.array(sketches, pa.binary()), pa.array(simhashes.view(np.int64))] if whole else []
+        names = ["id", *batch.schema.names[2:], "fp", *(["hashes", "sketch", "simhash"] if whole else [])]
         yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], pa.array(fps.view(np.int64)), *more], names)
 
 
 def marks(docs: DataFrame, id_col: str, text_col: str, shingle: int, carry: Iterable[str] = (), whole: bool = False) -> DataFrame:
     """``(id long, *carry, fp long)`` for every row: a hash of the whole text's set of shingles; 0 for wordless texts.
 
-    ``whole`` adds the set and its sketch.
+    ``whole`` adds the set, its sketch and its SimHash.
     """
     carry = list(carry)
     rows = docs.select(
         F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)]
     )
-    more = extended(rows, 2, "fp long, hashes binary, sketch binary" if whole else "fp long").fields
+    more = extended(rows, 2, "fp long, hashes binary, sketch binary, simhash long" if whole else "fp long").fields
     got = rows.mapInArrow(lambda batches: _marked(batches, shingle, whole), T.StructType([rows.schema["id"], *more]))
-    return got.select("id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "fp", *(["hashes", "sketch"] if whole else []))
+    return got.select("id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "fp", *(["hashes", "sketch", "simhash"] if whole else []))
+
+
+def _anchored(sets: DataFrame) -> DataFrame:
+    """Links ``(a, b)`` that connect all of ``sets(simhash, fp)``, a written table, whose SimHashes differ in at most four bits."""
+    heads = written(sets.groupBy("simhash").agg(F.min("fp").alias("head"), F.count(F.lit(1)).alias("n")), "simhashes")
+    same = meet(sets, heads.where("n > 1").select("simhash", "head"), "simhash").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    near = links(heads.select(F.col("simhash").alias("fp"))).distinct()
+    for end in ("a", "b"):
+        near = written(near, "anchored")
+        near = meet(near, heads.select(F.col("simhash").alias(end), "head"), end).drop(end).withColumnRenamed("head", end)
+    return same.where("a <> b").unionByName(near)
 
 
 def _banded(batches):
@@ -347,10 +361,12 @@ def without_similar(
     if similarity[0] * SIMILARITY[1] < SIMILARITY[0] * similarity[1]:
         raise ValueError("the bands serve similarities from 0.8")
     rows = written(marks(docs, id_col, text_col, shingle, whole=True), "shingles")
-    least = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"), F.max(F.octet_length("hashes")).alias("bytes")), "distinct")
+    least = written(rows.groupBy("fp").agg(F.min("id").alias("least"), F.first("sketch").alias("sketch"), F.first("simhash").alias("simhash"), F.max(F.octet_length("hashes")).alias("bytes")), "distinct")
+    anchored = _anchored(least.where("sketch is not null").select("simhash", "fp"))
     banded = least.where("sketch is not null").select("fp", "sketch").mapInArrow(_banded, "key long, fp long, s long, t long")
     most = KEY_ROWS
-    near = components(banded.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, most), "a long, b long"))
+    banded = banded.repartition("key").sortWithinPartitions("key").mapInArrow(lambda b: _candidates(b, most), "a long, b long")
+    near = components(anchored.unionByName(banded))
     size = near.join(least.select(F.col("fp").alias("node"), "bytes"), "node").groupBy("root").agg(F.sum("bytes").alias("bytes"))
     crowds = written(size.where(F.col("bytes") > CLASS_BYTES).select("root", F.ceil(F.col("bytes") / CLASS_BYTES).alias("parts")), "crowds")
     crowded = crowds.limit(1).count() > 0

@@ -74,6 +74,36 @@ def test_classes_cut_into_blocks(spark, monkeypatch, crowd):
     assert got == brute_kept(docs)
 
 
+def test_anchors_of_simhashes_make_candidates(spark, sf_dir, monkeypatch):
+    """Without the bands the stage still compares all that the SimHashes' anchors bring together: four bits of 64 at most, also through others."""
+    import xxhash
+
+    docs = texts(11)
+    docs += [(len(docs) + n, f"{t} tail{n}") for n, t in docs[:60]] + [(len(docs) + 60, docs[0][1].upper()), (len(docs) + 61, None), (len(docs) + 62, " ")]
+
+    def bits(text):
+        hashes = [xxhash.xxh64_intdigest(" ".join(g).encode(), 42) for g in grams(text)]
+        return sum((2 * sum(h >> b & 1 for h in hashes) > len(hashes)) << b for b in range(64))
+
+    prints, homes = {i: bits(t) for i, t in docs}, {i: {i} for i, _ in docs}
+    for i, j in itertools.combinations(prints, 2):
+        if (prints[i] ^ prints[j]).bit_count() <= 4 and homes[i] is not homes[j]:
+            homes[i] |= homes[j]
+            for k in homes[j]:
+                homes[k] = homes[i]
+    every = dict(docs)
+    want = set().union(*(brute_kept([(i, every[i]) for i in sorted(h)]) for h in {min(h): h for h in homes.values()}.values()))
+    wordless = {i for i, t in docs if not (t or "").split()}
+    want = want - wordless | {min(wordless)}  # these are copies, without sketches
+    assert len(set(prints.values())) < len({frozenset(grams(t)) for _, t in docs})  # different sets of one SimHash
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(similar, "_banded", lambda batches: (b for b in batches if b is None))
+    got = {r.doc_id for r in pipeline.drop_near_duplicates(spark, df, sf_dir).collect()}
+    assert got == want and len(brute_kept(docs)) < len(want) < len(docs)
+    monkeypatch.undo()
+    assert {r.doc_id for r in pipeline.drop_near_duplicates(spark, df, sf_dir).collect()} == brute_kept(docs) - wordless | {min(wordless)}
+
+
 def test_groups_in_pieces():
     """A key of many rows comes in pieces, and all its rows are linked with one."""
     import numpy as np
