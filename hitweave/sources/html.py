@@ -10,7 +10,7 @@ from ..collection import EXTENT, extents, records
 _FIELD = "struct<path:string,start:long,end:long,depth:int,txt:string>"
 
 
-def _parsed(batches, is_html):
+def _parsed(batches, is_html, references):
     import pyarrow as pa
 
     from .markup import parse
@@ -19,16 +19,16 @@ def _parsed(batches, is_html):
     for batch in batches:
         texts, fields = [], []
         for x in batch.column(1):
-            text, found = parse(x.as_py() or "", is_html)
+            text, found = parse(x.as_py() or "", is_html, references)
             texts.append(text)
             fields.append([dict(zip(("path", "start", "end", "depth", "txt"), f, strict=True)) for f in found])
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(fields, kind)], ["rec_id", "text", "fields"])
 
 
-def parsed(df: DataFrame, rec_id: str, source: str, is_html: bool = True) -> DataFrame:
-    """``(rec_id, text, fields)``: the reading text of each row and its elements and attributes."""
+def parsed(df: DataFrame, rec_id: str, source: str, is_html: bool = True, references: str = "all") -> DataFrame:
+    """``(rec_id, text, fields)``: the reading text of each row and its elements and attributes; ``references``: which are decoded, of ``markup.REFERENCES``."""
     rows = df.select(F.col(rec_id).cast("long").alias("rec_id"), F.col(source).cast("string").alias("source"))
-    return rows.mapInArrow(lambda b: _parsed(b, is_html), f"rec_id long, text string, fields array<{_FIELD}>")
+    return rows.mapInArrow(lambda b: _parsed(b, is_html, references), f"rec_id long, text string, fields array<{_FIELD}>")
 
 
 def exploded(rows: DataFrame) -> DataFrame:
@@ -38,8 +38,8 @@ def exploded(rows: DataFrame) -> DataFrame:
     return extents(f, name, rec_id="rec_id", path="path", depth="depth", f_start="start", f_end="end", txt="txt", num=F.col("txt").try_cast("double"))
 
 
-def extents_of(df: DataFrame, rec_id: str, source: str, is_html: bool = True) -> DataFrame:
-    return exploded(parsed(df, rec_id, source, is_html)).select(*EXTENT)
+def extents_of(df: DataFrame, rec_id: str, source: str, is_html: bool = True, references: str = "all") -> DataFrame:
+    return exploded(parsed(df, rec_id, source, is_html, references)).select(*EXTENT)
 
 
 def collection_tables(df: DataFrame, rec_id: str, source: str, is_html: bool = True, **columns: str) -> tuple[DataFrame, DataFrame]:
