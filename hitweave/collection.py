@@ -6,21 +6,23 @@
 
 ``f_start`` and ``f_end`` are the first and last character of an extent, as
 ``start`` and ``end`` are of a word; both count from 0.  Postings hold one row for
-each word and record, sorted by word and cut into files by (word, record), so that a
-word's rows are read from a few row groups and a very common word spreads over
-many files.
+each word and record.  A task writes those of its own records, a run of texts after the
+other, each run sorted by word: nothing is shuffled, a word's rows are read from few
+pages of each file by their least and largest words, and a very common word spreads
+over all files.
 """
 
 from __future__ import annotations
 
 import dataclasses
-from collections.abc import Iterable
+import functools
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import ASCII_WORD
-from .storage import discard, spread, written
+from .storage import spread, written
 
 #: Columns of a record beside its id and text, with their types; what a source lacks is null.
 RECORD = {
@@ -34,7 +36,8 @@ EXTENT = {
     "num": "double", "num_hi": "double", "ts_lo": "timestamp", "ts_hi": "timestamp",
 }
 HITS = "array<struct<start:long,end:long,src:int>>"
-_POSTINGS = "term string, rec_id long, tf int, hits array<struct<start:int,end:int,ord:int>>"
+#: As written; a hit is its start times 2**32 and its number in the record.
+_POSTINGS = "term string, rec_id long, tf int, hits array<long>"
 
 
 def records(df: DataFrame, rec_id: str, text: str, **columns: Column | str) -> DataFrame:
@@ -66,48 +69,127 @@ def extents(df: DataFrame, field: Column | str, **columns: Column | str) -> Data
 
 
 def by_field(exts: DataFrame) -> DataFrame:
-    """Extents in the order in which they are written: a predicate on a field reads the row groups of that field."""
-    return exts.repartitionByRange("field", "rec_id").sortWithinPartitions("field", "path", "num", "ts_lo")
+    """Extents in the order in which each task writes them: a predicate on a field reads the row groups of that field."""
+    return exts.sortWithinPartitions("field", "path", "num", "ts_lo")
 
 
-def _posted(batches, pattern, stop):
-    """A row for each word of ``(rec_id, text)``: the number of its hits stands beside them, so that counting doesn't read them."""
+#: Characters of text whose words are sorted at once: a file of postings is a row of such runs.
+RUN = 8 << 20
+
+
+class _Codes(dict):
+    """A number for each word, from 0 on; -1 for stopwords, or where ``only`` is given for all but these."""
+
+    def __init__(self, stop, only=None):
+        super().__init__(dict.fromkeys(stop, -1) if only is None else {w: n for n, w in enumerate(sorted(only - stop))})
+        self.without, self.open = len(stop) if only is None else 0, only is None
+
+    def __missing__(self, word):
+        if not self.open:
+            return -1
+        self[word] = n = len(self) - self.without
+        return n
+
+    def words(self):
+        return [w for w, n in self.items() if n >= 0]
+
+
+def _found(texts, pattern):
+    """The words of some texts: ``(words, text, start, ord)``, the last three as arrays; ``ord`` counts within a text."""
     import re
 
+    import numpy as np
+
+    if pattern != ASCII_WORD:
+        words, at, starts, ords = [], [], [], []
+        for n, text in enumerate(texts):
+            for i, m in enumerate(re.finditer(pattern, text)):
+                words.append(m.group())
+                at.append(n)
+                starts.append(m.start())
+                ords.append(i)
+        return words, *[np.array(x, np.int64) for x in (at, starts, ords)]
+    # no word goes over the ends of a text, so that all are searched as one; a byte stands for each character
+    one = "\n".join(texts)
+    chars = np.frombuffer(one.encode("ascii", "replace"), np.uint8)
+    inside = np.zeros(len(chars) + 2, np.int8)
+    inside[1:-1] = ((chars >= 97) & (chars <= 122)) | ((chars >= 48) & (chars <= 57))
+    starts = np.flatnonzero(np.diff(inside) == 1)
+    begins = np.concatenate([[0], np.cumsum(np.array([len(t) + 1 for t in texts], np.int64))[:-1]])
+    at = np.searchsorted(begins, starts, "right") - 1
+    return re.findall(pattern, one), at, starts - begins[at], np.arange(len(starts)) - np.searchsorted(starts, begins)[at]
+
+
+def _sorted_run(codes, recs, parts):
+    """The rows of a run in the order of (word, record): ``parts`` holds code, record's number, start and ord of its words."""
     import numpy as np
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    code, rec, start, ord_ = (np.concatenate(x) for x in zip(*parts, strict=True))
+    words = pa.array(codes.words(), pa.string())
+    by = pc.sort_indices(words)
+    rank = np.empty(len(words), np.int64)
+    rank[by.to_numpy()] = np.arange(len(words))
+    key = rank[code] * len(recs) + rec
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    ends = np.append(first, len(key)).astype(np.int32)
+    hits = ((start.astype(np.int64) << 32) | ord_)[order]
+    own = key[first]
+    rows = pa.RecordBatch.from_arrays(
+        [
+            words.take(by).take(pa.array(own // len(recs))), pa.array(recs, pa.int64()).take(pa.array(own % len(recs))), pa.array(np.diff(ends)),
+            pa.ListArray.from_arrays(pa.array(ends), pa.array(hits)),
+        ],
+        ["term", "rec_id", "tf", "hits"],
+    )
+    for n in range(0, rows.num_rows, 50_000):
+        yield rows.slice(n, 50_000)
+
+
+def _posted(batches, pattern, stop, only=None):
+    """A row for each word of ``(rec_id, text)``, in the order of words within runs of ``RUN`` characters.
+
+    The number of its hits stands beside them, so that counting doesn't read them.
+    """
+    codes, recs, parts, size = _Codes(stop, only), [], [], 0
+    texts, length = [], 0
 
-    find = re.compile(pattern).finditer
-    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ord", pa.int32())]))
-    for batch in batches:
-        terms, recs, codes, starts, ends, ords = [], [], [], [], [], []
+    def add():
+        import numpy as np
 
-        def out():
-            code = np.array(codes, np.int32)  # of each hit: its row
-            order = np.argsort(code, kind="stable")
-            counts = np.bincount(code, minlength=len(terms)).astype(np.int32)
-            hits = pa.StructArray.from_arrays([pa.array(np.array(x, np.int32)[order]) for x in (starts, ends, ords)], ["start", "end", "ord"])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), hits)
-            return pa.RecordBatch.from_arrays([pa.array(terms, pa.string()), pa.array(recs, pa.int64()), pa.array(counts), lists.cast(kind)], ["term", "rec_id", "tf", "hits"])
+        words, at, start, ord_ = _found(texts, pattern)
+        code = np.fromiter(map(codes.__getitem__, words), np.int32, len(words))
+        kept = np.flatnonzero(code >= 0)
+        if len(kept):
+            parts.append([x[kept].astype(np.int32) for x in (code, at + (len(recs) - len(texts)), start, ord_)])
 
+    for batch in batches:
         for rec, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-            own: dict[str, int] = {}
-            base = len(terms)
-            for n, m in enumerate(find(lowered(text.as_py()))):
-                word = m.group()
-                if word not in stop:
-                    codes.append(base + own.setdefault(word, len(own)))
-                    start, end = m.span()
-                    starts.append(start)
-                    ends.append(end - 1)
-                    ords.append(n)
-            terms.extend(own)
-            recs.extend([rec] * len(own))
-            if len(starts) > 200_000:
-                yield out()
-                terms, recs, codes, starts, ends, ords = [], [], [], [], [], []
-        if terms:
-            yield out()
+            recs.append(rec)
+            texts.append(lowered(text.as_py()))
+            length += len(texts[-1]) + 1
+            if length > RUN >> 4:
+                add()
+                size, texts, length = size + length, [], 0
+                if size > RUN:
+                    if parts:
+                        yield from _sorted_run(codes, recs, parts)
+                    codes, recs, parts, size = _Codes(stop, only), [], [], 0
+    if texts:
+        add()
+    if parts:
+        yield from _sorted_run(codes, recs, parts)
+
+
+def _opened(posts: DataFrame) -> DataFrame:
+    """Postings as they are read: a word ends as many characters after its start as it has."""
+    hits = F.transform(
+        "hits", lambda h: F.struct(F.shiftright(h, 32).cast("int").alias("start"), (F.shiftright(h, 32) + F.char_length("term") - 1).cast("int").alias("end"), h.bitwiseAND(0xFFFFFFFF).cast("int").alias("ord"))
+    )
+    return posts.withColumn("hits", hits)
 
 
 def lowered(text: str) -> str:
@@ -120,7 +202,8 @@ def lowered(text: str) -> str:
 class Collection:
     """Tables of one corpus.  ``postings`` may be a table on disk or a plan over ``records``.
 
-    ``meta`` has the columns of ``records`` but the text, ``words`` the vocabulary; both are written with the index.
+    ``meta`` gives the columns of ``records`` but the text, ``words`` the vocabulary, ``counts`` the statistics, of an
+    index that is written; each is written when it is first asked for.  ``made``: the postings are a plan over texts.
     """
 
     spark: SparkSession
@@ -131,9 +214,10 @@ class Collection:
     stopwords: frozenset[str] = frozenset()
     aliases: dict[str, str] = dataclasses.field(default_factory=dict)
     name: str = ""
-    counts: DataFrame | None = None
-    meta: DataFrame | None = None
-    words: DataFrame | None = None
+    counts: Callable[[], DataFrame] | None = None
+    meta: Callable[[], DataFrame] | None = None
+    words: Callable[[], DataFrame] | None = None
+    made: bool = False
 
     @classmethod
     def of(
@@ -144,18 +228,18 @@ class Collection:
         Deleted records are searched as well and left out when results are presented.
         """
         stop = frozenset(stopwords)
-        rows = _indexing(recs, pattern, stop)
-        counts = meta = words = None
-        if indexed:
-            meta = written(recs.drop("text"), "meta")
-            counts = written(_counted(meta), "counts")
-            # ranges of (word, record): a very common word takes several files, and all files are sorted;
-            # finding the ranges takes a pass over the rows, which should not make them again
-            raw = written(_indexing(spread(recs), pattern, stop), "words")
-            rows = written(raw.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"), "postings")
-            words = written(_vocabulary(raw).repartitionByRange("term").sortWithinPartitions("term"), "vocabulary")
-            discard(raw)
-        return cls(recs.sparkSession, recs, rows, exts, pattern, stop, name=name, counts=counts, meta=meta, words=words, **more)
+        if not indexed:
+            return cls(recs.sparkSession, recs, _indexing(recs, pattern, stop), exts, pattern, stop, name=name, made=True, **more)
+        rows = written(_packed(spread(recs), pattern, stop), "postings", compression="zstd")
+        meta = functools.cache(lambda: written(recs.drop("text"), "meta"))
+        counts = functools.cache(lambda: written(_counted(meta()), "counts"))
+        words = functools.cache(lambda: written(_vocabulary(rows).sortWithinPartitions("term"), "vocabulary"))
+        return cls(recs.sparkSession, recs, _opened(rows), exts, pattern, stop, name=name, counts=counts, meta=meta, words=words, **more)
+
+    def posted(self, *words: str) -> DataFrame:
+        """The postings of some words, by name; where they are made from texts, of these words alone."""
+        rows = _indexing(self.records, self.pattern, self.stopwords, frozenset(words)) if self.made else self.postings
+        return rows.where(F.col("term") == words[0] if len(words) == 1 else F.col("term").isin(sorted(words)))
 
     def indexing(self, recs: DataFrame) -> DataFrame:
         """The postings of some records, made from their texts."""
@@ -177,19 +261,23 @@ class Collection:
 
     def vocabulary(self) -> DataFrame:
         """``(term, tf, df)`` of all words."""
-        return _vocabulary(self.postings) if self.words is None else self.words
+        return _vocabulary(self.postings) if self.words is None else self.words()
 
     def described(self) -> DataFrame:
         """The records' columns but the text, without a scan of it where the index is written."""
-        return self.records.drop("text") if self.meta is None else self.meta
+        return self.records.drop("text") if self.meta is None else self.meta()
 
     def statistics(self) -> DataFrame:
         """One row: ``n_records`` and ``avg_len`` over all records, deleted ones too."""
-        return _counted(self.records) if self.counts is None else self.counts
+        return _counted(self.records) if self.counts is None else self.counts()
+
+
+def _packed(recs: DataFrame, pattern: str, stop: frozenset[str], only: frozenset[str] | None = None) -> DataFrame:
+    return recs.select("rec_id", "text").mapInArrow(lambda b: _posted(b, pattern, stop, only), _POSTINGS)
 
 
-def _indexing(recs: DataFrame, pattern: str, stop: frozenset[str]) -> DataFrame:
-    return recs.select("rec_id", "text").mapInArrow(lambda b: _posted(b, pattern, stop), _POSTINGS)
+def _indexing(recs: DataFrame, pattern: str, stop: frozenset[str], only: frozenset[str] | None = None) -> DataFrame:
+    return _opened(_packed(recs, pattern, stop, only))
 
 
 def _vocabulary(posts: DataFrame) -> DataFrame:

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from ..collection import HITS, Collection
 from .results import result
 from .structural import of_field
+from .terms import NAMED
 
 
 def by_words(c: Collection, words: DataFrame) -> DataFrame:
     """OR of ``words(term, weight)``: a record's score is the sum of weight times hits over the words it has.
 
-    The words are joined with the postings, so that there may be any number of them.
+    The words are joined with the postings, so that there may be any number of them; where they are few, they are
+    asked for by name as well, and the postings stay where they are.
     """
-    rows = c.postings.join(words, "term").withColumn("_n", F.col("tf").cast("long"))
+    some = words.select("term", "weight").take(NAMED + 1)
+    if len(some) > NAMED:
+        rows = c.postings.join(words, "term")
+    elif some:
+        rows = c.posted(*{r.term for r in some}).join(F.broadcast(c.spark.createDataFrame(some, words.select("term", "weight").schema)), "term")
+    else:
+        rows = c.postings.where("false").withColumn("weight", F.lit(0.0))
+    rows = rows.withColumn("_n", F.col("tf").cast("long"))
     hits = F.flatten(F.collect_list(F.transform("hits", lambda h: F.struct(h["start"].cast("long").alias("start"), h["end"].cast("long").alias("end"), F.lit(0).alias("src")))))
     got = rows.groupBy("rec_id").agg(F.sum(F.col("weight") * F.col("_n")).alias("_s"), F.sum("_n").alias("_h"), F.count(F.lit(1)).alias("_a"), hits.cast(HITS).alias("_hits"))
     return result(got, score=F.col("_s"), hit_count=F.col("_h"), aux_count=F.col("_a"), hits=F.col("_hits"))

@@ -33,7 +33,7 @@ def score(
         return found.withColumn("score", F.lit(0.0))
     tf, w = F.col("hit_count").cast("double"), F.lit(float(weight))
     rows = found
-    if method in ("bm25", "bytes"):
+    if method == "bytes" or method == "bm25" and (b or recency > 0 and pivot > 0):
         rows = rows.join(c.described().select("rec_id", "rec_len", "date"), "rec_id")
     if method not in ("l2", "l1", "max"):  # those divide idf by itself
         rows = rows.crossJoin(F.broadcast(c.statistics().crossJoin(found.agg(F.count(F.lit(1)).alias("_n")))))
@@ -52,7 +52,7 @@ def score(
         value = 2 * tf / (tf + 1) * idf * w
     elif method == "bm25":
         rate = F.log(1 + (big - n + 0.5) / (n + 0.5))
-        norm = F.lit(k1) * (1 - b + b * F.col("rec_len") / F.col("avg_len"))
+        norm = F.lit(k1) * (1 - b + b * F.col("rec_len") / F.col("avg_len")) if b else F.lit(float(k1))
         value = w * rate * (F.pow(tf, F.lit(a)) / (F.pow(tf, F.lit(a)) + norm) if a > 0 else tf * (k1 + 1) / (tf + norm))
         if recency > 0 and pivot > 0:
             age = F.least(F.greatest(F.lit(pivot) - F.year("date"), F.lit(0.0)), F.lit(40.0))

@@ -36,16 +36,16 @@ def _matching(c: Collection, keep: Column) -> DataFrame:
     only row groups with one of them are read; where there are many, the index is filtered.
     """
     if c.words is not None:
-        some = [r.term for r in c.words.where(keep).select("term").take(NAMED + 1)]
+        some = [r.term for r in c.vocabulary().where(keep).select("term").take(NAMED + 1)]
         if len(some) <= NAMED:
-            return c.postings.where(F.col("term").isin(some))
+            return c.posted(*some) if some else c.postings.where("false")
     return c.postings.where(keep)
 
 
 def term(c: Collection, word: str, src: int = 0) -> DataFrame:
     """Records with the word, in any case; the word's alias where it has one, nothing for a stopword."""
     word = c.aliases.get(word.lower(), word.lower())
-    return _one(c.postings.where(F.col("term") == word), src)
+    return _one(c.postings.where("false") if word in c.stopwords else c.posted(word), src)
 
 
 def prefix(c: Collection, start: str, src: int = 0) -> DataFrame:
@@ -117,7 +117,7 @@ def phrase(c: Collection, words: Sequence[str], src: int = 0) -> DataFrame:
     if len(words) == 1:
         return term(c, words[0], src)
     distinct = sorted(set(words))
-    rows = c.postings.where(F.col("term").isin(distinct)).groupBy("rec_id").agg(
+    rows = c.posted(*distinct).groupBy("rec_id").agg(
         *[F.flatten(F.collect_list(F.when(F.col("term") == w, F.col("hits")))).alias(f"w{n}") for n, w in enumerate(distinct)]
     )
     for n in range(len(distinct)):

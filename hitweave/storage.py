@@ -39,14 +39,14 @@ def folder(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def written(df: DataFrame, tag: str) -> DataFrame:
+def written(df: DataFrame, tag: str, **options: str) -> DataFrame:
     """Cuts the lineage: ``df`` as a table in the shared folder, which survives lost executors.
 
     The table stays until ``discard`` or the end of the driver process.
     """
     spark = df.sparkSession
     path = folder(spark, tag)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._hitweave_path = path
     return out

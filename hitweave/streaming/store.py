@@ -14,7 +14,7 @@ import dataclasses
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..collection import _POSTINGS, EXTENT, RECORD, Collection, _indexing, by_field
+from ..collection import _POSTINGS, EXTENT, RECORD, Collection, _opened, _packed, by_field
 from ..functions.text import ASCII_WORD
 from .upserts import newest
 
@@ -48,8 +48,7 @@ class Store:
         self._write("records", batch, recs.where("not (deleted and text = '')"))
         self._write("deleted", batch, gone)
         kept = self.spark.read.schema(_RECORDS.rsplit(", ", 1)[0]).parquet(f"{self.path}/records/batch={batch}")
-        rows = _indexing(kept, self.pattern, self.stopwords)
-        self._write("postings", batch, rows.repartitionByRange("term", "rec_id").sortWithinPartitions("term", "rec_id"))
+        self._write("postings", batch, _packed(kept, self.pattern, self.stopwords))
         if exts is not None:
             self._write("extents", batch, by_field(exts.select(*EXTENT).join(kept.select("rec_id"), "rec_id", "left_semi")))
 
@@ -71,7 +70,7 @@ class Store:
         """What is live as a collection; its postings and extents are those of live records' own batches."""
         rows = self.live(now)
         alive = rows.select("rec_id", "batch")
-        posts = self._read("postings", _POSTINGS + ", batch long").join(alive, ["rec_id", "batch"], "left_semi").drop("batch")
+        posts = _opened(self._read("postings", _POSTINGS + ", batch long")).join(alive, ["rec_id", "batch"], "left_semi").drop("batch")
         exts = self._read("extents", _EXTENTS).join(alive, ["rec_id", "batch"], "left_semi").drop("batch")
         return Collection(self.spark, rows.drop("batch"), posts, exts, self.pattern, self.stopwords)
 

@@ -1,10 +1,17 @@
 """Queries on tables made for them, against their SQL, and what steps hold at once."""
 
+import re
+
 import duckdb
+import pyarrow as pa
 import pytest
 
+from hitweave import collection
 from hitweave import queries as engine
+from hitweave.functions.text import UNICODE_WORD
+from hitweave.operators import feedback
 from hitweave.sources.markup import parse
+from hitweave.storage import written
 
 
 def against_sql(spark, name, sf_dir, *tables):
@@ -24,3 +31,71 @@ def test_titles_with_other_references(spark, tmp_path, cut):
     got, want = against_sql(spark, "html_title", tmp_path, "pages")
     assert got == want
     assert parse("<p>A &quot;b&quot; &amp</p>")[0].strip() == 'A "b" &'  # as browsers read them, where nothing else is asked for
+
+
+def words_of(texts):
+    """(term, rec_id) with the places and numbers of its hits, by plain Python."""
+    out = {}
+    for rec, text in texts.items():
+        for n, m in enumerate(re.finditer("[a-z0-9]+", collection.lowered(text or ""))):
+            out.setdefault((m.group(), rec), []).append((m.start(), m.end() - 1, n))
+    return out
+
+
+TEXTS = {1: "Äöü the cat\nthe", 2: None, 3: "", 4: "cat's THE 99 \U0001f600 the dog İx", 5: "the", 6: "\n a1\n", 7: "zebra " * 50 + "the", 9: "x"}
+
+
+@pytest.mark.parametrize("run", [1, 40, 8 << 20])
+def test_index_is_written_without_a_shuffle(spark, monkeypatch, run):
+    """Each task writes the words of its own records, sorted by runs; what else an index has is written when it is asked for."""
+    tags = []
+    monkeypatch.setattr(collection, "RUN", run)
+    monkeypatch.setattr(collection, "written", lambda df, tag, **o: (tags.append((tag, df._jdf.queryExecution().executedPlan().toString())), written(df, tag, **o))[1])
+    df = spark.createDataFrame(list(TEXTS.items()), "i long, t string").coalesce(4)
+    c = collection.Collection.of(collection.records(df, "i", "t"))
+    assert [t for t, _ in tags] == ["postings"] and not any("rangepartitioning" in p or "hashpartitioning" in p for _, p in tags)
+    want = words_of(TEXTS)
+    assert {(r.term, r.rec_id): [tuple(h) for h in r.hits] for r in c.postings.collect()} == want
+    assert all(r.tf == len(want[r.term, r.rec_id]) for r in c.postings.collect())
+    assert {r.term: (r.tf, r.df) for r in c.vocabulary().collect()} == {w: (sum(len(h) for (x, _), h in want.items() if x == w), sum(x == w for x, _ in want)) for w, _ in want}
+    assert c.statistics().first().n_records == len(TEXTS) and "text" not in c.described().columns
+    # the rows of one run are in the order of words
+    own = list(collection._posted(iter([pa.RecordBatch.from_arrays([pa.array(list(TEXTS)), pa.array([x or "" for x in TEXTS.values()])], ["i", "t"])]), "[a-z0-9]+", frozenset({"the"})))
+    rows = [(t, r) for b in own for t, r in zip(b["term"].to_pylist(), b["rec_id"].to_pylist(), strict=True)]
+    assert sorted(rows) == sorted((w, r) for w, r in want if w != "the") and (rows == sorted(rows) or run < 8 << 20)
+
+
+def test_words_of_any_script(spark):
+    """A pattern that could go over the ends of texts is met text by text."""
+    df = spark.createDataFrame([(1, "Größe l'an x.de"), (2, "größe")], "i long, t string")
+    c = collection.Collection.of(collection.records(df, "i", "t"), pattern=UNICODE_WORD)
+    assert {(r.term, r.rec_id): [tuple(h) for h in r.hits] for r in c.postings.collect()} == {("größe", 1): [(0, 4, 0)], ("l'an", 1): [(6, 9, 1)], ("x.de", 1): [(11, 14, 2)], ("größe", 2): [(0, 4, 0)]}
+
+
+def test_stopwords_need_no_index(spark, sf_dir, monkeypatch):
+    """An index isn't made for a query that doesn't read it, and of a collection without one only the words asked for are kept."""
+    monkeypatch.setattr(engine, "documents", None)
+    assert engine.QUERIES["term_stopword"](spark, sf_dir).count() > 0
+    df = spark.createDataFrame(list(TEXTS.items()), "i long, t string")
+    c = collection.Collection.of(collection.records(df, "i", "t"), indexed=False, stopwords=["dog"])
+    assert {(r.term, r.rec_id) for r in c.posted("the", "x", "dog").collect()} == {("the", 1), ("the", 4), ("the", 5), ("the", 7), ("x", 9)} | {("x", 4)} & set(words_of(TEXTS))
+
+
+def test_length_is_read_where_it_counts(spark, sf_dir):
+    """BM25 without length normalisation meets no table of records."""
+    plan = engine.QUERIES["score_bm25_b0"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "rec_len" not in plan
+    assert "rec_len" in engine.QUERIES["score_bm25"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_few_words_are_asked_for_by_name(spark, monkeypatch):
+    """Feedback by few words moves no postings; with many words the result is the same."""
+    df = spark.createDataFrame(list(TEXTS.items()), "i long, t string")
+    c = collection.Collection.of(collection.records(df, "i", "t"))
+    words = spark.createDataFrame([("the", 2.0), ("dog", 1.0), ("nowhere", 1.0)], "term string, weight double")
+    keep = ("rec_id", "score", "hit_count", "aux_count")
+    few = feedback.by_words(c, words)
+    assert "In(term, [dog,nowhere,the])" in few._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(feedback, "NAMED", 1)
+    assert sorted(map(tuple, few.select(*keep).collect())) == sorted(map(tuple, feedback.by_words(c, words).select(*keep).collect())) != []
+    assert feedback.by_words(c, words.where("false")).count() == 0
