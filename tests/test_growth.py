@@ -10,6 +10,7 @@ from hitweave import collection
 from hitweave import queries as engine
 from hitweave.functions.text import UNICODE_WORD
 from hitweave.operators import feedback
+from hitweave.sources import html as html_source
 from hitweave.sources.markup import parse
 from hitweave.storage import written
 
@@ -99,3 +100,23 @@ def test_few_words_are_asked_for_by_name(spark, monkeypatch):
     monkeypatch.setattr(feedback, "NAMED", 1)
     assert sorted(map(tuple, few.select(*keep).collect())) == sorted(map(tuple, feedback.by_words(c, words).select(*keep).collect())) != []
     assert feedback.by_words(c, words.where("false")).count() == 0
+
+
+def test_pages_are_parsed_few_at_a_time(spark, tmp_path, monkeypatch):
+    """However many pages a batch has, the fields of few are held; what is not asked for isn't made."""
+    pages = [(n, f"/{n}", None if n == 7 else "" if n == 8 else f'<html><head><title>t {n}</title></head><body><h1>De {n}</h1><p><a href="/{n}">x</a>' + "<p>y" * n) for n in range(60)]
+    batch = pa.RecordBatch.from_arrays([pa.array([p[2] for p in pages]), pa.array([p[0] for p in pages])], ["_source", "rec_id"])
+    monkeypatch.setattr(html_source, "CHARS", 500)
+    out = list(html_source._parsed(iter([batch]), True, "all", ("text", "fields")))
+    assert len(out) > 10 and sum(b.num_rows for b in out) == 60 and max(b.num_rows for b in out) < 15
+    for b in out:
+        for n, text, fields in zip(b["rec_id"].to_pylist(), b["text"].to_pylist(), b["fields"].to_pylist(), strict=True):
+            assert (text, [tuple(f.values()) for f in fields]) == parse(pages[n][2] or "")
+    assert [b.schema.names for b in html_source._parsed(iter([batch]), True, "all", ("fields",))][0] == ["rec_id", "fields"]
+    spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    for name in ("html_links", "html_headings_search"):
+        got, want = against_sql(spark, name, tmp_path, "pages")
+        assert [tuple(f"{v:.6f}" if isinstance(v, float) else v for v in r) for r in got] == [tuple(f"{v:.6f}" if isinstance(v, float) else v for v in r) for r in want] != []
+    # the pages' other columns come along: no join brings them back to their texts
+    recs, _ = html_source.collection_tables(engine.table(spark, str(tmp_path), "pages"), "page_id", "html", key="url")
+    assert "Join" not in recs._jdf.queryExecution().optimizedPlan().toString() and {r.key for r in recs.collect()} == {p[1] for p in pages}
