@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -78,32 +79,49 @@ def _long_enough(text: str, least: int) -> None:
         raise QueryError(9, f"truncated term too short: {text!r}")
 
 
-def _checked(c: Collection, df: DataFrame, keep: Column) -> DataFrame:
-    """Hits of ``df`` that stand a test on the record's text; ``keep`` uses text and the lambda variable by way of columns."""
-    kept = df.join(c.records.select("rec_id", "text"), "rec_id").withColumn("hits", keep)
+def _standing(batches, keep):
+    """Of ``(rec_id, text, hits)`` the hits that stand a test; a text is gone through once, however many hits it has."""
+    import numpy as np
+    import pyarrow as pa
+
+    for batch in batches:
+        hits = batch.column(2)
+        flat, ends = hits.flatten(), np.concatenate([[0], np.cumsum(hits.value_lengths().to_numpy(zero_copy_only=False))])
+        starts, lasts = flat.field("start").to_numpy(), flat.field("end").to_numpy()
+        stay = np.zeros(len(flat), bool)
+        for n, text in enumerate(batch.column(1)):
+            own = text.as_py()
+            for i in range(ends[n], ends[n + 1]):
+                stay[i] = keep(own, starts[i], lasts[i])
+        kept = np.concatenate([[0], np.cumsum(stay)])[ends].astype(np.int32)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(kept), flat.filter(pa.array(stay)))], ["rec_id", "hits"])
+
+
+def _checked(c: Collection, df: DataFrame, keep: Callable[[str, int, int], bool]) -> DataFrame:
+    """Hits of ``df`` that stand a test on the record's text and the hit's first and last character."""
+    rows = df.select("rec_id", "hits").join(c.records.select("rec_id", "text"), "rec_id").select("rec_id", "text", "hits")
+    kept = rows.mapInArrow(lambda b: _standing(b, keep), f"rec_id long, hits {HITS}")
     return result(kept.where(F.size("hits") > 0), hit_count=F.size("hits"), hits=F.col("hits"))
 
 
 def case_term(c: Collection, word: str, src: int = 0) -> DataFrame:
     """``word=``: the word as written, case and all."""
-    return _checked(c, term(c, word, src), F.filter("hits", lambda h: F.substring(F.col("text"), h["start"] + 1, len(word)) == word))
+    return _checked(c, term(c, word, src), lambda text, start, _: text.startswith(word, start))
 
 
 def case_prefix(c: Collection, start: str, src: int = 0) -> DataFrame:
     """``word=*``: words that start as written."""
-    return _checked(c, prefix(c, start, src), F.filter("hits", lambda h: F.substring(F.col("text"), h["start"] + 1, len(start)) == start))
+    return _checked(c, prefix(c, start, src), lambda text, at, _: text.startswith(start, at))
 
 
 def exact_term(c: Collection, word: str, src: int = 0) -> DataFrame:
     """``word.``: the word as a whole token, not joined to others by ``- _ . ,`` or an apostrophe."""
+    before, after = re.compile(r"[\w.,'_-]", re.ASCII), re.compile(r"[\w_-]|[.,']\w", re.ASCII)
 
-    def alone(h: Column) -> Column:
-        around = F.concat(F.lit(" "), F.col("text"), F.lit("  "))
-        before = F.substring(around, h["start"] + 1, 1)
-        after, second = F.substring(around, h["end"] + 3, 1), F.substring(around, h["end"] + 4, 1)
-        return ~before.rlike(r"[\w.,'_-]") & ~(after.rlike(r"[\w_-]") | (after.rlike(r"[.,']") & second.rlike(r"\w")))
+    def alone(text: str, start: int, end: int) -> bool:
+        return not (start and before.match(text, start - 1)) and not after.match(text, end + 1)
 
-    return _checked(c, term(c, word, src), F.filter("hits", alone))
+    return _checked(c, term(c, word, src), alone)
 
 
 def phrase(c: Collection, words: Sequence[str], src: int = 0) -> DataFrame:

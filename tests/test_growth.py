@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from hitweave import collection
 from hitweave import queries as engine
 from hitweave.functions.text import UNICODE_WORD
-from hitweave.operators import feedback
+from hitweave.operators import feedback, terms
 from hitweave.sources import html as html_source
 from hitweave.sources.markup import parse
 from hitweave.storage import written
@@ -141,3 +141,17 @@ def test_extents_are_written_without_sorting(spark, tmp_path, sf_dir, monkeypatc
         assert not re.search(r"\b(Sort|Exchange|HashAggregate)\b", own[0])
         files = c.extents.select("field", F.input_file_name().alias("file")).distinct().groupBy("file").count()
         assert files.where("count > 1").count() == 0 and c.extents.select("field").distinct().count() == 8
+
+
+def test_texts_are_gone_through_once_for_their_hits(spark):
+    """Words as written, among letters of several bytes: no hit looks for its place from the text's beginning."""
+    text = "Äö The thE the-x The. 'The The,9 \U0001f600The _The The " * 3
+    df = spark.createDataFrame([(1, text), (2, "the"), (3, "The"), (4, None)], "i long, t string")
+    c = collection.Collection.of(collection.records(df, "i", "t"))
+    at = [m.start() for m in re.finditer("The(?![a-z0-9])", text) if not re.match("[a-z0-9]", text[m.start() - 1 : m.start()].lower())]
+    for find, word in ((terms.case_term, "The"), (terms.case_prefix, "Th")):
+        found = find(c, word)
+        assert "substring" not in found._jdf.queryExecution().optimizedPlan().toString().lower()
+        assert {r.rec_id: ([h.start for h in r.hits], r.hit_count) for r in found.collect()} == {1: (at, len(at)), 3: ([0], 1)}
+    alone = [m.start() for m in re.finditer(r"(?<![\w.,'-])the(?![\w-]|[.,']\w)", text.lower(), re.ASCII)]
+    assert {r.rec_id: [h.start for h in r.hits] for r in terms.exact_term(c, "the").collect()} == {1: alone, 2: [0], 3: [0]}
